@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from keelson.operators.scale import cut_lineage
 
-# Rounds between two reliable checkpoints.
-EVERY = 4
 
 
 def load_order(tables: DataFrame, fks: DataFrame, scope: list[str], most_rounds: int = 10_000) -> DataFrame:
