@@ -45,8 +45,10 @@ class FileStore:
 
     def location(self, spark: SparkSession, table: str) -> str:
         folder = f"{self.path.rstrip('/')}/{table}"
-        single = f"{folder}.{self.format}"
-        return single if _file_system(spark, single).exists(_path(spark, single)) else folder
+        for place in (f"{folder}.{self.format}", folder):
+            if _file_system(spark, place).exists(_path(spark, place)):
+                return place
+        raise FileNotFoundError(f"no table {table} in {self.path}")
 
     def tables(self, spark: SparkSession) -> list[str]:
         statuses = _file_system(spark, self.path).listStatus(_path(spark, self.path))
