@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.functions.names import BLANKS, as_col, is_blank
+from keelson.functions.names import BLANKS, as_col, is_blank, let
 from keelson.functions import types as ty
 
 # Words read as true (compared without case, never trimmed).
@@ -43,8 +43,8 @@ _NUMBER = (
     rf"){_WHITE}$"
 )
 _CORE = rf"{_DIGITS}{_EXPONENT}"
-_PLAIN = r"^-?\d{1,18}(?:\.\d{1,9})?$"
-_SHORT_WHOLE = r"^-?\d{1,18}$"
+_PLAIN = r"^ *-?\d{1,18}(?:\.\d{1,9})? *$"
+_SHORT_WHOLE = r"^ *[+-]?\d{1,18} *$"
 _MINUS = rf"^[^0-9.]*[-(]|-{_WHITE}$"
 
 
@@ -55,8 +55,8 @@ def numeric_text(c: Column) -> Column:
     commas, a decimal point and an exponent.
     """
     core = F.replace(F.regexp_extract(c, _CORE, 0), F.lit(","), F.lit(""))
-    signed = F.when(c.rlike(_MINUS), F.concat(F.lit("-"), core)).otherwise(core)
-    return F.when(c.rlike(_PLAIN), c).when(c.rlike(_NUMBER), signed)
+    sign = F.when(c.rlike(_MINUS), F.lit("-")).otherwise(F.lit(""))
+    return F.when(c.rlike(_NUMBER), F.concat(sign, core))
 
 
 def _comma_decimal(c: Column) -> Column:
@@ -64,12 +64,16 @@ def _comma_decimal(c: Column) -> Column:
     return F.translate(c, ",.", ".,")
 
 
+def _whole_number(number: Column) -> Column:
+    """Integer of a plain number text, NULL when it has a fraction."""
+    by_exponent = let(number.try_cast("decimal(38,18)"), lambda d: F.when(d == F.floor(d), d.try_cast("bigint")))
+    plain = F.regexp_extract(number, r"^(-?\d+)(?:\.0*)?$", 1).try_cast("bigint")
+    return F.when(number.rlike("[eE]"), by_exponent).otherwise(plain)
+
+
 def _text_to_long(c: Column) -> Column:
-    """Whole number of a text, NULL when there is none or it has a fraction."""
-    wide = numeric_text(c).try_cast("decimal(38,18)")
-    has_fraction = c.rlike(r"\.\d*[1-9]") & ~c.rlike("[eE]")
-    return F.when(c.rlike(_SHORT_WHOLE), c.try_cast("bigint")).when(
-        ~has_fraction & (wide == F.floor(wide)), wide.try_cast("bigint"))
+    """Whole number of a text, NULL when there is none. Plain digits take the short way."""
+    return F.when(c.rlike(_SHORT_WHOLE), c.try_cast("bigint")).otherwise(let(numeric_text(c), _whole_number))
 
 
 def _is(dtype: T.DataType, *kinds: type) -> bool:
@@ -115,13 +119,15 @@ def to_int64(c: Column, dtype: T.DataType) -> Column:
 
 
 def _text_to_double(c: Column) -> Column:
-    word = F.lower(F.btrim(c, F.lit(BLANKS)))
-    special = (
-        F.when(word.isin("infinity", "+infinity"), F.lit(float("inf")))
-        .when(word == "-infinity", F.lit(float("-inf")))
-        .when(word.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
-    )
-    return F.coalesce(numeric_text(c).try_cast("double"), special)
+    def special(word: Column) -> Column:
+        return (
+            F.when(word.isin("infinity", "+infinity"), F.lit(float("inf")))
+            .when(word == "-infinity", F.lit(float("-inf")))
+            .when(word.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
+        )
+
+    odd = F.coalesce(numeric_text(c).try_cast("double"), let(F.lower(F.btrim(c, F.lit(BLANKS))), special))
+    return F.when(c.rlike(_PLAIN), c.try_cast("double")).otherwise(odd)
 
 
 def to_double(c: Column, dtype: T.DataType, decimal_comma: bool = False) -> Column:
@@ -142,17 +148,21 @@ def _double_to_decimal(c: Column) -> Column:
 
 
 def _text_to_decimal(c: Column) -> Column:
-    return numeric_text(c).try_cast(DECIMAL_TYPE)
+    """Decimal of a text: 0 when it is no number the source type holds, NULL when only ours cannot hold it."""
+    def odd(number: Column) -> Column:
+        held_by_source = F.coalesce(F.abs(number.try_cast("double")) < DECIMAL_LIMIT, F.lit(False))
+        return F.coalesce(number.try_cast(DECIMAL_TYPE), F.when(~held_by_source, F.lit(0).cast(DECIMAL_TYPE)))
+
+    return F.when(c.rlike(_PLAIN), c.try_cast(DECIMAL_TYPE)).otherwise(let(numeric_text(c), odd))
 
 
 def to_decimal(c: Column, dtype: T.DataType, decimal_comma: bool = False) -> Column:
     if _is_text(dtype):
         found = _text_to_decimal(c)
         if decimal_comma:
-            found = F.coalesce(found, _text_to_decimal(_comma_decimal(c)))
-        fits_source = F.coalesce(F.abs(numeric_text(c).try_cast("double")) < DECIMAL_LIMIT, F.lit(False))
-        unreadable = F.when(~fits_source, F.lit(0).cast(DECIMAL_TYPE))
-        return F.when(c.isNotNull(), F.coalesce(found, unreadable))
+            readable = c.rlike(_NUMBER)
+            found = F.when(readable, found).otherwise(_text_to_decimal(_comma_decimal(c)))
+        return F.when(c.isNotNull(), found)
     if _is(dtype, T.FloatType, T.DoubleType):
         return _double_to_decimal(c.cast("double"))
     if _is(dtype, T.BooleanType):
@@ -193,31 +203,34 @@ def to_text(c: Column, dtype: T.DataType) -> Column:
 
 _TIME = r"\d{2}:\d{2}:\d{2}"
 _YEAR = r"(?!0000)\d{4}"
-_ISO = rf"^{_YEAR}-\d{{2}}-\d{{2}}(?:[ T]{_TIME}(?:\.\d{{3}})?)?$"
-_DOTS = rf"^(\d{{1,2}})\.(\d{{1,2}})\.({_YEAR})((?: {_TIME})?)$"
-_SLASHES = rf"^(\d{{2}})/(\d{{2}})/({_YEAR})((?: {_TIME})?)$"
-_YEAR_DOTS = rf"^({_YEAR})\.(\d{{2}})\.(\d{{2}})$"
+_ISO = rf"^{_YEAR}-\d{{2}}-\d{{2}}(?:[ T]{_TIME}(?:\.\d{{3}})?)?\z"
+# The second alternative takes any other text, which leaves no digits to parse.
+_DOTS = rf"(?s)^(?:(\d{{1,2}})\.(\d{{1,2}})\.({_YEAR})((?: {_TIME})?)|.*)\z"
+_SLASHES = rf"(?s)^(?:(\d{{2}})/(\d{{2}})/({_YEAR})((?: {_TIME})?)|.*)\z"
+_YEAR_DOTS = rf"(?s)^(?:({_YEAR})\.(\d{{2}})\.(\d{{2}})|.*)\z"
 
 
 def parse_datetime_text(c: Column) -> Column:
     """Timestamp of a text in one of the accepted layouts, NULL otherwise.
 
     ISO with blank or ``T`` and optional milliseconds, ``d.M.yyyy``, ``dd/MM/yyyy``,
-    ``MM/dd/yyyy``; the latter three with optional time. Day first wins.
+    ``MM/dd/yyyy``; the latter three with optional time. Day first wins. The layout is
+    told by its separator, so that each text meets one pattern.
     """
-    day_first = (
-        F.when(c.rlike(_ISO), c)
-        .when(c.rlike(_DOTS), F.regexp_replace(c, _DOTS, "$3-$2-$1$4"))
-        .when(c.rlike(_SLASHES), F.regexp_replace(c, _SLASHES, "$3-$2-$1$4"))
+    def slashes(order: str) -> Column:
+        return F.regexp_replace(c, _SLASHES, order).try_cast("timestamp_ntz")
+
+    return (
+        F.when(F.substring(c, 5, 1) == "-", F.when(c.rlike(_ISO), c.try_cast("timestamp_ntz")))
+        .when(c.contains("/"), F.coalesce(slashes("$3-$2-$1$4"), slashes("$3-$1-$2$4")))
+        .when(c.contains("."), F.regexp_replace(c, _DOTS, "$3-$2-$1$4").try_cast("timestamp_ntz"))
     )
-    month_first = F.when(c.rlike(_SLASHES), F.regexp_replace(c, _SLASHES, "$3-$1-$2$4"))
-    return F.coalesce(day_first.try_cast("timestamp_ntz"), month_first.try_cast("timestamp_ntz"))
 
 
 def parse_date_text(c: Column) -> Column:
     """Date of a text in one of the accepted layouts (also ``yyyy.MM.dd``), NULL otherwise."""
-    year_dots = F.when(c.rlike(_YEAR_DOTS), F.regexp_replace(c, _YEAR_DOTS, "$1-$2-$3"))
-    return F.coalesce(parse_datetime_text(c).cast("date"), year_dots.try_cast("date"))
+    year_dots = F.regexp_replace(c, _YEAR_DOTS, "$1-$2-$3").try_cast("date")
+    return F.when(F.instr(c, ".") == 5, year_dots).otherwise(parse_datetime_text(c).cast("date"))
 
 
 def _zero_date() -> Column:
@@ -308,12 +321,18 @@ def to_canonical(c: Column | str, source_type: T.DataType, canonical: str, decim
     return build(c, source_type) if build else c
 
 
+def can_overflow(source_type: T.DataType, canonical: str) -> bool:
+    """Whether values of a type may be too large for their canonical type."""
+    if canonical in (ty.TEXT, ty.BOOLEAN, ty.BYTES, ty.GUID, ty.UNKNOWN):
+        return False
+    return canonical == ty.DECIMAL or not _is_text(source_type)
+
+
 def overflowed(c: Column | str, source_type: T.DataType, canonical: str, decimal_comma: bool = False) -> Column:
     """True where a value cannot be held by its canonical type (the row is to be rejected)."""
-    c = as_col(c)
-    safe = {ty.TEXT, ty.BOOLEAN, ty.BYTES, ty.GUID, ty.UNKNOWN}
-    if canonical in safe or (_is_text(source_type) and canonical != ty.DECIMAL):
+    if not can_overflow(source_type, canonical):
         return F.lit(False)
+    c = as_col(c)
     return c.isNotNull() & to_canonical(c, source_type, canonical, decimal_comma).isNull()
 
 

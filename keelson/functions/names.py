@@ -52,6 +52,11 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def row_hash(df, columns: list[str] | None = None) -> Column:
     """A content hash, the same on every re-run of a task (safe for salting)."""
     return F.xxhash64(*[F.col(c) for c in (columns or df.columns)])

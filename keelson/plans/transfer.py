@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions import types as ty
-from keelson.functions.convert import canonical_value, default_value, overflowed, to_text
+from keelson.functions.convert import can_overflow, canonical_value, default_value, to_text
 from keelson.functions.names import any_of
 from keelson.operators.filters import common_columns
 
@@ -58,11 +58,15 @@ def targets_of(schema: T.StructType) -> list[Target]:
     ]
 
 
+def _needs_fit(held: T.DataType, target: Target) -> bool:
+    return ty.spark_type(target.canonical) not in (None, held)
+
+
 def _fit(value: Column, held: T.DataType, target: Target) -> Column:
     """Canonical value as the type of its target column; NULL when it does not fit."""
-    wanted = ty.spark_type(target.canonical)
-    if wanted is None or held == wanted:
+    if not _needs_fit(held, target):
         return value
+    wanted = ty.spark_type(target.canonical)
     if target.canonical in (ty.TEXT, ty.GUID):
         return to_text(value, held)
     if isinstance(held, T.StringType) or isinstance(held, T.NumericType) and isinstance(wanted, T.NumericType):
@@ -76,7 +80,7 @@ def _fit(value: Column, held: T.DataType, target: Target) -> Column:
 
 
 def split_rows(df: DataFrame, targets: list[Target], rules: Rules = Rules()) -> DataFrame:
-    """Target rows with ``_status`` (clean, repaired, rejected) and ``_reasons``.
+    """Target rows with ``_status`` (clean, repaired, rejected) and, when rejected, ``_reasons``.
 
     A row that breaks no rule is clean. When it breaks some, the NULLs in all its
     columns get defaults by source type; if that mends everything the row is repaired,
@@ -85,7 +89,7 @@ def split_rows(df: DataFrame, targets: list[Target], rules: Rules = Rules()) ->
     by_name = {t.name: t for t in targets}
     pairs = common_columns(df.columns, list(by_name))
     given = {name.lower(): kind for name, kind in rules.source_types.items()}
-    kinds, checks, raw, final = {}, [], [], []
+    kinds, checks, soft, raw, final = {}, [], [], [], []
     for source, name in pairs:
         dtype = df.schema[source].dataType
         kind = given.get(source.lower(), ty.spark_to_canonical(dtype))
@@ -98,37 +102,38 @@ def split_rows(df: DataFrame, targets: list[Target], rules: Rules = Rules()) ->
         target = by_name[name]
         c = F.col(f"`{source}`")
         raw.append(canonical_value(c, dtype, kind, target.canonical, rules.decimal_comma).alias(f"_v{i}"))
-        raw.append(overflowed(c, dtype, kind, rules.decimal_comma).alias(f"_o{i}"))
-    converted = df.select(*raw)
+        if can_overflow(dtype, kind):
+            raw.append(c.isNotNull().alias(f"_n{i}"))
+    # The partition number keeps the optimizer from moving a filter on the status below
+    # this projection, where every conversion would be repeated inside the filter.
+    converted = df.select(*raw, F.spark_partition_id().alias("_at"))
 
     fitted = []
     for i, (_, name) in enumerate(pairs):
         held = converted.schema[f"_v{i}"].dataType
-        value = _fit(F.col(f"_v{i}"), held, by_name[name])
-        fitted += [value.alias(f"_f{i}"), (F.col(f"_v{i}").isNotNull() & value.isNull()).alias(f"_t{i}"), F.col(f"_o{i}")]
-    fit = converted.select(*fitted)
-
-    soft = []
-    for i, (_, name) in enumerate(pairs):
-        target, value = by_name[name], F.col(f"_f{i}")
-        checks.append(F.when(F.col(f"_o{i}"), F.lit(f"overflow:{name}")))
-        checks.append(F.when(F.col(f"_t{i}"), F.lit(f"type:{name}")))
-        if target.max_length > 0 and isinstance(fit.schema[f"_f{i}"].dataType, T.StringType):
-            checks.append(F.when(F.length(value) > target.max_length, F.lit(f"length:{name}")))
+        target = by_name[name]
+        value = _fit(F.col(f"_v{i}"), held, target)
+        fitted.append(value.alias(f"_f{i}"))
+        lost = F.col(f"_n{i}") & F.col(f"_v{i}").isNull() if f"_n{i}" in converted.columns else None
+        if lost is not None:
+            checks.append((lost, f"overflow:{name}"))
+        if _needs_fit(held, target):
+            checks.append((F.col(f"_v{i}").isNotNull() & value.isNull(), f"type:{name}"))
+        dtype = converted.select(value.alias("v")).schema["v"].dataType
+        if target.max_length > 0 and isinstance(dtype, T.StringType):
+            checks.append((F.coalesce(F.length(value) > target.max_length, F.lit(False)), f"length:{name}"))
         if target.not_null:
-            empty = value.isNull() & ~F.col(f"_o{i}") & ~F.col(f"_t{i}")
-            mend = default_value(kinds[name][0], fit.schema[f"_f{i}"].dataType)
-            too_long = F.lit(False)
-            if target.max_length > 0:
-                too_long = F.length(mend.cast("string")) > target.max_length
-            checks.append(F.when(empty & (mend.isNull() | too_long), F.lit(f"null:{name}")))
+            empty = F.col(f"_v{i}").isNull() if lost is None else F.col(f"_v{i}").isNull() & ~F.col(f"_n{i}")
+            mend = default_value(kinds[name][0], dtype)
+            too_long = F.length(mend.cast("string")) > target.max_length if target.max_length > 0 else F.lit(False)
+            checks.append((empty & (mend.isNull() | too_long), f"null:{name}"))
             soft.append(empty)
-    hard = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
-    judged = fit.select(*[F.col(f"_f{i}") for i in range(len(pairs))], hard.alias("_reasons"),
-                        any_of(soft).alias("_soft"))
     status = (
-        F.when(F.size("_reasons") > 0, F.lit(REJECTED)).when(F.col("_soft"), F.lit(REPAIRED)).otherwise(F.lit(CLEAN)))
-    marked = judged.withColumn("_status", status)
+        F.when(any_of([F.col("_at") < 0, *[bad for bad, _ in checks]]), F.lit(REJECTED))
+        .when(any_of(soft), F.lit(REPAIRED)).otherwise(F.lit(CLEAN)))
+    reasons = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(bad, F.lit(code)) for bad, code in checks]))
+    marked = converted.select(*fitted, status.alias("_status"),
+                              F.when(status == REJECTED, reasons).alias("_reasons"))
     for i, (_, name) in enumerate(pairs):
         mend = default_value(kinds[name][0], marked.schema[f"_f{i}"].dataType)
         value = F.col(f"_f{i}")
