@@ -95,12 +95,18 @@ def to_boolean(c: Column, dtype: T.DataType) -> Column:
     return F.when(c.isNotNull(), F.lit(False))
 
 
+def clamp_int32(c: Column) -> Column:
+    """64-bit integer cut to the 32-bit range."""
+    low, high = F.lit(-2147483648), F.lit(2147483647)
+    return F.when(c > high, high).when(c < low, low).otherwise(c.try_cast("int"))
+
+
 def to_int32(c: Column, dtype: T.DataType) -> Column:
     """64-bit integers clamp; text outside the range is 0; other numbers round half-even."""
     if _is(dtype, T.ByteType, T.ShortType, T.IntegerType, T.BooleanType):
         return c.cast("int")
     if _is(dtype, T.LongType):
-        return F.greatest(F.least(c, F.lit(2147483647)), F.lit(-2147483648)).cast("int")
+        return clamp_int32(c)
     if _is_text(dtype):
         return F.when(c.isNotNull(), F.coalesce(_text_to_long(c).try_cast("int"), F.lit(0)))
     if _is(dtype, T.NumericType):

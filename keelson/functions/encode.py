@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions import types as ty
-from keelson.functions.convert import to_text
+from keelson.functions.convert import clamp_int32, to_text
 
 
 def encode_for(backend: str, c: Column, canonical: str) -> Column:
@@ -21,7 +21,7 @@ def encode_for(backend: str, c: Column, canonical: str) -> Column:
             return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     elif backend == "Access":
         if canonical == ty.INT64:
-            return F.greatest(F.least(c, F.lit(2147483647)), F.lit(-2147483648)).cast("int")
+            return clamp_int32(c)
         if canonical == ty.DECIMAL:
             return c.cast("double")
         if canonical == ty.DATE:
