@@ -43,8 +43,8 @@ _NUMBER = (
     rf"){_WHITE}$"
 )
 _CORE = rf"{_DIGITS}{_EXPONENT}"
-_PLAIN = r"^ *-?\d{1,18}(?:\.\d{1,9})? *$"
-_SHORT_WHOLE = r"^ *[+-]?\d{1,18} *$"
+_PLAIN = r"^ *-?\d[\d,]{0,17}(?:\.\d{1,9})? *$"
+_SHORT_WHOLE = r"^ *[+-]?\d[\d,]{0,17} *$"
 _MINUS = rf"^[^0-9.]*[-(]|-{_WHITE}$"
 
 
@@ -54,11 +54,16 @@ def numeric_text(c: Column) -> Column:
     Accepts outer blanks, a sign on either side, parentheses as minus, thousands
     commas, a decimal point and an exponent.
     """
-    core = F.replace(F.regexp_extract(c, _CORE, 0), F.lit(","), F.lit(""))
+    core = _bare(F.regexp_extract(c, _CORE, 0))
     sign = F.when(c.rlike(_MINUS), F.lit("-")).otherwise(F.lit(""))
     return F.when(c.rlike(_NUMBER), F.concat(sign, core))
 
 
+def _bare(c: Column) -> Column:
+    """The text without thousands commas."""
+    return F.replace(c, F.lit(","), F.lit(""))
+
+
 def _comma_decimal(c: Column) -> Column:
     """The same text with the roles of comma and point exchanged."""
     return F.translate(c, ",.", ".,")
@@ -73,7 +78,7 @@ def _whole_number(number: Column) -> Column:
 
 def _text_to_long(c: Column) -> Column:
     """Whole number of a text, NULL when there is none. Plain digits take the short way."""
-    return F.when(c.rlike(_SHORT_WHOLE), c.try_cast("bigint")).otherwise(let(numeric_text(c), _whole_number))
+    return F.when(c.rlike(_SHORT_WHOLE), _bare(c).try_cast("bigint")).otherwise(let(numeric_text(c), _whole_number))
 
 
 def _is(dtype: T.DataType, *kinds: type) -> bool:
@@ -133,7 +138,7 @@ def _text_to_double(c: Column) -> Column:
         )
 
     odd = F.coalesce(numeric_text(c).try_cast("double"), let(F.lower(F.btrim(c, F.lit(BLANKS))), special))
-    return F.when(c.rlike(_PLAIN), c.try_cast("double")).otherwise(odd)
+    return F.when(c.rlike(_PLAIN), _bare(c).try_cast("double")).otherwise(odd)
 
 
 def to_double(c: Column, dtype: T.DataType, decimal_comma: bool = False) -> Column:
@@ -159,7 +164,7 @@ def _text_to_decimal(c: Column) -> Column:
         held_by_source = F.coalesce(F.abs(number.try_cast("double")) < DECIMAL_LIMIT, F.lit(False))
         return F.coalesce(number.try_cast(DECIMAL_TYPE), F.when(~held_by_source, F.lit(0).cast(DECIMAL_TYPE)))
 
-    return F.when(c.rlike(_PLAIN), c.try_cast(DECIMAL_TYPE)).otherwise(let(numeric_text(c), odd))
+    return F.when(c.rlike(_PLAIN), _bare(c).try_cast(DECIMAL_TYPE)).otherwise(let(numeric_text(c), odd))
 
 
 def to_decimal(c: Column, dtype: T.DataType, decimal_comma: bool = False) -> Column:
@@ -212,6 +217,7 @@ _YEAR = r"(?!0000)\d{4}"
 _ISO = rf"^{_YEAR}-\d{{2}}-\d{{2}}(?:[ T]{_TIME}(?:\.\d{{3}})?)?\z"
 # The second alternative takes any other text, which leaves no digits to parse.
 _DOTS = rf"(?s)^(?:(\d{{1,2}})\.(\d{{1,2}})\.({_YEAR})((?: {_TIME})?)|.*)\z"
+_FULL_DOTS = rf"^\d\d\.\d\d\.{_YEAR}\z"
 _SLASHES = rf"(?s)^(?:(\d{{2}})/(\d{{2}})/({_YEAR})((?: {_TIME})?)|.*)\z"
 _YEAR_DOTS = rf"(?s)^(?:({_YEAR})\.(\d{{2}})\.(\d{{2}})|.*)\z"
 
@@ -223,13 +229,17 @@ def parse_datetime_text(c: Column) -> Column:
     ``MM/dd/yyyy``; the latter three with optional time. Day first wins. The layout is
     told by its separator, so that each text meets one pattern.
     """
+    dash = F.lit("-")
+    full_dots = F.concat(F.substring(c, 7, 4), dash, F.substring(c, 4, 2), dash, F.substring(c, 1, 2))
+
     def slashes(order: str) -> Column:
         return F.regexp_replace(c, _SLASHES, order).try_cast("timestamp_ntz")
 
     return (
         F.when(F.substring(c, 5, 1) == "-", F.when(c.rlike(_ISO), c.try_cast("timestamp_ntz")))
         .when(c.contains("/"), F.coalesce(slashes("$3-$2-$1$4"), slashes("$3-$1-$2$4")))
-        .when(c.contains("."), F.regexp_replace(c, _DOTS, "$3-$2-$1$4").try_cast("timestamp_ntz"))
+        .when(c.contains("."), F.when(c.rlike(_FULL_DOTS), full_dots).otherwise(
+            F.regexp_replace(c, _DOTS, "$3-$2-$1$4")).try_cast("timestamp_ntz"))
     )
 
 

@@ -108,18 +108,19 @@ def split_rows(df: DataFrame, targets: list[Target], rules: Rules = Rules()) ->
     # this projection, where every conversion would be repeated inside the filter.
     converted = df.select(*raw, F.spark_partition_id().alias("_at"))
 
-    fitted = []
+    fitted, fitted_types = [], []
     for i, (_, name) in enumerate(pairs):
         held = converted.schema[f"_v{i}"].dataType
         target = by_name[name]
         value = _fit(F.col(f"_v{i}"), held, target)
         fitted.append(value.alias(f"_f{i}"))
+        fitted_types.append(ty.spark_type(target.canonical) if _needs_fit(held, target) else held)
         lost = F.col(f"_n{i}") & F.col(f"_v{i}").isNull() if f"_n{i}" in converted.columns else None
         if lost is not None:
             checks.append((lost, f"overflow:{name}"))
         if _needs_fit(held, target):
             checks.append((F.col(f"_v{i}").isNotNull() & value.isNull(), f"type:{name}"))
-        dtype = converted.select(value.alias("v")).schema["v"].dataType
+        dtype = fitted_types[i]
         if target.max_length > 0 and isinstance(dtype, T.StringType):
             checks.append((F.coalesce(F.length(value) > target.max_length, F.lit(False)), f"length:{name}"))
         if target.not_null:
@@ -135,7 +136,7 @@ def split_rows(df: DataFrame, targets: list[Target], rules: Rules = Rules()) ->
     marked = converted.select(*fitted, status.alias("_status"),
                               F.when(status == REJECTED, reasons).alias("_reasons"))
     for i, (_, name) in enumerate(pairs):
-        mend = default_value(kinds[name][0], marked.schema[f"_f{i}"].dataType)
+        mend = default_value(kinds[name][0], fitted_types[i])
         value = F.col(f"_f{i}")
         final.append(F.when((F.col("_status") == REPAIRED) & value.isNull(), mend).otherwise(value).alias(name))
     return marked.select(*final, "_status", "_reasons")
