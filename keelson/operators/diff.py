@@ -26,7 +26,7 @@ from keelson.functions.names import key
 from keelson.functions.text import fk_name, supports_foreign_keys
 from keelson.functions.types import is_auto_number
 from keelson.operators.filters import complete_relations
-from keelson.operators.scale import salted_join
+from keelson.operators.scale import cut_lineage, salted_join
 
 ACTION_COLUMNS = [
     "db", "action", "table_name", "column_name", "type", "not_null", "is_key", "field_size",
@@ -83,25 +83,28 @@ class FleetDiff:
             F.min("_d.table_name").alias("table_name"), F.count(F.lit(1)).alias("n_columns"))
 
     @cached_property
-    def _live_columns(self) -> DataFrame:
+    def _columns(self) -> DataFrame:
+        """Live columns with their declared counterpart, where there is one."""
         keyed = self.live.select("db", key("table_name").alias("_t"), key("column_name").alias("_c"),
                                  "table_name", "column_name", "position", "sql_type")
-        return salted_join(keyed, self._programs, ["db"], "inner", F.col("column_name"))
-
-    @cached_property
-    def _live_tables(self) -> DataFrame:
-        return self._live_columns.groupBy("db", "program_id", "_t").agg(F.min("table_name").alias("live_table"))
+        placed = salted_join(keyed, self._programs, ["db"], "inner", F.col("column_name"))
+        return salted_join(placed, self._declared_columns, ["program_id", "_t", "_c"], "left", F.col("db"))
 
     @cached_property
     def _tables(self) -> DataFrame:
-        """Live tables with their declared counterpart, where there is one."""
-        return salted_join(self._live_tables, self._declared_tables, ["program_id", "_t"], "left", F.col("db"))
-
-    @cached_property
-    def _columns(self) -> DataFrame:
-        """Live columns with their declared counterpart, where there is one."""
-        return salted_join(self._live_columns, self._declared_columns, ["program_id", "_t", "_c"], "left",
-                           F.col("db"))
+        """Live tables with the number of their declared columns, and their declared counterpart, if any."""
+        found = F.count_distinct(F.when(F.col("_d").isNotNull(), F.col("_c")))
+        live = self._columns.groupBy("db", "program_id", "_t").agg(
+            F.min("table_name").alias("live_table"), found.alias("_found"))
+        return salted_join(live, self._declared_tables, ["program_id", "_t"], "left", F.col("db"))
+
+    def settled(self) -> FleetDiff:
+        """The same diff with the matched catalog written out once, for all that follows from it."""
+        copy = FleetDiff(self.databases, self.declared, self.live, self.declared_fks, self.live_fks)
+        copy.__dict__["_declared_columns"] = cut_lineage(self._declared_columns)
+        copy.__dict__["_columns"] = cut_lineage(copy._columns)
+        copy.__dict__["_tables"] = cut_lineage(copy._tables)
+        return copy
 
     # ---- tables ----
 
@@ -109,12 +112,12 @@ class FleetDiff:
     def missing_tables(self) -> DataFrame:
         """(db, table) declared but not live, with the number of columns to create."""
         found = self._tables.filter(F.col("table_name").isNotNull())
-        per_db = found.groupBy("db").agg(F.count(F.lit(1)).alias("_found"))
+        per_db = found.groupBy("db").agg(F.count(F.lit(1)).alias("_has"))
         wanted = self._declared_tables.groupBy("program_id").agg(F.count(F.lit(1)).alias("_wanted"))
         short = (
             salted_join(self._programs, wanted, ["program_id"], "inner", F.col("db"))
             .join(per_db, "db", "left")
-            .filter(F.coalesce("_found", F.lit(0)) < F.col("_wanted"))
+            .filter(F.coalesce("_has", F.lit(0)) < F.col("_wanted"))
             .select("db", "program_id")
         )
         expected = salted_join(short, self._declared_tables, ["program_id"], "inner", F.col("db"))
@@ -130,7 +133,8 @@ class FleetDiff:
     @cached_property
     def surplus_table_columns(self) -> DataFrame:
         """The columns of wholly surplus tables."""
-        return self._live_columns.join(self.surplus_tables.select("db", "_t"), ["db", "_t"], "left_semi").select(
+        tables = self.surplus_tables.select("db", "_t")
+        return salted_join(self._columns, tables, ["db", "_t"], "left_semi", F.col("column_name")).select(
             "db", "program_id", "table_name", "column_name", "position")
 
     # ---- columns ----
@@ -138,15 +142,10 @@ class FleetDiff:
     @cached_property
     def missing_columns(self) -> DataFrame:
         """Declared columns that a shared table lacks."""
-        found = self._columns.filter(F.col("_d").isNotNull()).select("db", "_t", "_c").distinct()
-        per_table = found.groupBy("db", "_t").agg(F.count(F.lit(1)).alias("_found"))
-        shared = self._tables.filter(F.col("table_name").isNotNull())
-        short = (
-            shared.join(per_table, ["db", "_t"], "left")
-            .filter(F.coalesce("_found", F.lit(0)) < F.col("n_columns"))
-            .select("db", "program_id", "_t")
-        )
+        short = self._tables.filter(
+            F.col("table_name").isNotNull() & (F.col("_found") < F.col("n_columns"))).select("db", "program_id", "_t")
         expected = salted_join(short, self._declared_columns, ["program_id", "_t"], "inner", F.col("db"))
+        found = self._columns.filter(F.col("_d").isNotNull()).select("db", "_t", "_c")
         return expected.join(found, ["db", "_t", "_c"], "left_anti").select("db", "program_id", "_t", "_c", "_d.*")
 
     @cached_property
@@ -158,7 +157,8 @@ class FleetDiff:
     def surplus_columns(self) -> DataFrame:
         """Live columns of shared tables that are not declared."""
         return (
-            self._columns.filter(F.col("_d").isNull()).join(self._shared_keys, ["db", "_t"])
+            salted_join(self._columns.filter(F.col("_d").isNull()), self._shared_keys, ["db", "_t"], "inner",
+                        F.col("column_name"))
             .select("db", "program_id", F.col("_declared_table").alias("table_name"), "column_name", "position")
         )
 
@@ -203,8 +203,8 @@ class FleetDiff:
         """
         tables = self._declared_tables.select("program_id", "_t").withColumn("_has", F.lit(True))
         columns = self._declared_columns.select("program_id", "_t", "_c").withColumn("_has", F.lit(True))
-        live_tables = self._live_tables.select("db", "_t").withColumn("_has", F.lit(True))
-        live_columns = self._live_columns.select("db", "_t", "_c").distinct().withColumn("_has", F.lit(True))
+        live_tables = self._tables.select("db", "_t").withColumn("_has", F.lit(True))
+        live_columns = self._columns.select("db", "_t", "_c").distinct().withColumn("_has", F.lit(True))
 
         def mark(df: DataFrame, side: DataFrame, names: dict[str, str], flag: str, scope: str) -> DataFrame:
             renamed = side.select(scope, *[F.col(k).alias(v) for k, v in names.items()], F.col("_has").alias(flag))
@@ -231,7 +231,10 @@ class FleetDiff:
 
     @cached_property
     def actions(self) -> DataFrame:
-        """One row per difference, see ``ACTION_COLUMNS``."""
+        """One row per difference, see ``ACTION_COLUMNS``. The matched catalog is computed once."""
+        return self.settled()._all_actions()
+
+    def _all_actions(self) -> DataFrame:
         fields = F.col
         parts = [
             _action(self.missing_tables, CREATE_TABLE, n_columns=fields("n_columns").cast("bigint")),

@@ -15,7 +15,7 @@ from keelson.functions.names import is_empty, key
 from keelson.functions.types import normalise_type
 from keelson.operators.filters import visible, without_system_tables
 from keelson.operators.relations import clear_programs
-from keelson.operators.scale import first_per_key, number_rows, salted_join
+from keelson.operators.scale import cut_lineage, first_per_key, number_rows, salted_join
 
 COLUMN_VALUES = ["type", "default_value", "field_size", "allow_null", "indexed", "is_key"]
 
@@ -48,13 +48,13 @@ def _find(rows: DataFrame, store: DataFrame, keys: list[str], store_id: str) ->
 
 def _merge_parents(rows: DataFrame, store: DataFrame, keys: list[str], store_id: str) -> tuple[DataFrame, DataFrame]:
     """(new rows with their new ids, map old id -> new id); repeats of a key share one row."""
-    found = _find(rows, store, keys, store_id)
+    found = cut_lineage(_find(rows, store, keys, store_id))
     fresh = first_per_key(found.filter(F.col("_found").isNull()).drop("_found"), keys, ["id"])
     fresh = number_rows(fresh, ["id"], "_new", _next_id(store, store_id))
     made = fresh.select(*keys, "_new")
     mapped = salted_join(found, made, keys, "left", F.col("id"))
     id_map = mapped.groupBy("id").agg(F.max(F.coalesce("_found", "_new")).alias("new_id"))
-    return fresh, id_map
+    return fresh, cut_lineage(id_map)
 
 
 def ingest_dump(store: dict[str, DataFrame], programs: DataFrame, tables: DataFrame, columns: DataFrame,
@@ -86,7 +86,7 @@ def ingest_dump(store: dict[str, DataFrame], programs: DataFrame, tables: DataFr
     kept_columns = salted_join(columns, table_map.withColumnRenamed("id", "table_id"), ["table_id"], "inner",
                                F.col("id")).drop("table_id").withColumnRenamed("new_id", "table_id")
     name = ["table_id", "column_name"]
-    found = _find(kept_columns, store["columns"], name, "column_id")
+    found = cut_lineage(_find(kept_columns, store["columns"], name, "column_id"))
     fresh = first_per_key(found.filter(F.col("_found").isNull()).drop("_found"), name, ["id"])
     fresh = number_rows(fresh, ["id"], "column_id", _next_id(store["columns"], "column_id"))
     layout = ["column_id", *name, *COLUMN_VALUES, "hidden"]
