@@ -19,6 +19,8 @@ from keelson.operators.scale import number_within, salted_join
 
 # No supported database declares more columns in one statement.
 WIDEST_TABLE = 32767
+# Key columns named on one line; engines allow far fewer.
+MOST_KEYS = 1024
 CASCADE_BOTH = ("MySQL", "MariaDB", "SqlServer", "PostgreSQL", "Firebird")
 CASCADE_DELETE = ("DB2", "Oracle")
 # Targets whose exported script holds foreign keys.
@@ -42,26 +44,41 @@ def create_lines(declared: DataFrame, target: str, scope: list[str]) -> DataFram
         to_ddl(target, F.col("type"), F.col("field_size")).alias("_type"),
         (F.coalesce("not_null", F.lit(False)) | _is_key(declared)).alias("_required"), _is_key(declared).alias("_key"))
     tables = cols.groupBy(*table).agg(
-        F.max("column_id").alias("_last"),
-        # The key clause is one line; engines allow at most a few dozen key columns.
-        F.array_sort(F.collect_list(F.when(F.col("_key"), F.struct("column_id", "_name")))).alias("_keys"))
-    tables = tables.withColumn("_clause", F.lit(target != "SQLite") & (F.size("_keys") > 0))
+        F.max("column_id").alias("_last"), F.count_if(F.col("_key")).alias("_n_keys"),
+        F.max(F.when(F.col("_key"), F.col("column_id"))).alias("_last_key"))
+    tables = tables.withColumn("_clause", F.lit(target != "SQLite") & (F.col("_n_keys") > 0))
     body = salted_join(cols, tables.select(*table, "_last", "_clause"), table, "inner", F.col("column_id"))
     comma = F.when((F.col("column_id") == F.col("_last")) & ~F.col("_clause"), F.lit("")).otherwise(F.lit(","))
     body = body.select(*table, F.lit(1).alias("section"), "column_id", F.concat(
         F.lit("    "), "_name", F.lit(" "), "_type",
         F.when(F.col("_required"), F.lit(" NOT NULL")).otherwise(F.lit("")), comma).alias("line"))
     suffix = " ENGINE=InnoDB DEFAULT CHARSET=utf8mb4;" if target in ("MySQL", "MariaDB") else ";"
-    names = F.array_join(F.transform("_keys", lambda k: k["_name"]), ", ")
+    kind = declared.schema["column_id"].dataType
     frame = F.array(
         F.struct(F.lit(0).alias("section"), F.concat(
             F.lit("CREATE TABLE "), quote_script(target, F.col("table_name")), F.lit(" (")).alias("line")),
-        F.struct(F.lit(2).alias("section"), F.when(F.col("_clause"), F.concat(
-            F.lit("    PRIMARY KEY ("), names, F.lit(")"))).alias("line")),
         F.struct(F.lit(3).alias("section"), F.lit(")" + suffix).alias("line")))
-    ends = tables.select(*table, F.explode(frame).alias("_f")).filter(F.col("_f.line").isNotNull()).select(
-        *table, "_f.section", F.lit(None).cast(declared.schema["column_id"].dataType).alias("column_id"), "_f.line")
-    return ends.unionByName(body)
+    ends = tables.select(*table, F.explode(frame).alias("_f")).select(
+        *table, "_f.section", F.lit(None).cast(kind).alias("column_id"), "_f.line")
+    return ends.unionByName(body).unionByName(_key_lines(cols, tables, table, kind))
+
+
+def _key_lines(cols: DataFrame, tables: DataFrame, table: list[str], kind) -> DataFrame:
+    """The PRIMARY KEY clause: one line, or one line per name where there are very many."""
+    wanted = tables.filter("_clause").select(*table, "_n_keys", "_last_key")
+    keys = salted_join(cols.filter("_key").select(*table, "column_id", "_name"), wanted, table, "inner", F.col("column_id"))
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column_id", "_name"))), lambda k: k["_name"]), ", ")
+    short = keys.filter(F.col("_n_keys") <= MOST_KEYS).groupBy(*table).agg(names.alias("_names")).select(
+        *table, F.lit(2).alias("section"), F.lit(None).cast(kind).alias("column_id"),
+        F.concat(F.lit("    PRIMARY KEY ("), "_names", F.lit(")")).alias("line"))
+    many = keys.filter(F.col("_n_keys") > MOST_KEYS)
+    first = many.groupBy(*table).agg(F.min("column_id").alias("_first"))
+    many = salted_join(many, first, table, "inner", F.col("column_id"))
+    long = many.select(
+        *table, F.lit(2).alias("section"), "column_id",
+        F.concat(F.when(F.col("column_id") == F.col("_first"), F.lit("    PRIMARY KEY (")).otherwise(F.lit("        ")), "_name",
+                 F.when(F.col("column_id") == F.col("_last_key"), F.lit(")")).otherwise(F.lit(","))).alias("line"))
+    return short.unionByName(long)
 
 
 def create_statements(declared: DataFrame, target: str, scope: list[str], widest: int = WIDEST_TABLE) -> DataFrame:
@@ -78,8 +95,8 @@ def create_statements(declared: DataFrame, target: str, scope: list[str], widest
     whole = narrow.groupBy(*table).agg(
         F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("text")
     ).withColumn("piece", F.lit(0).cast("bigint"))
-    pieces = F.when(F.col("section") == 0, F.lit(0)).when(
-        F.col("section") == 1, F.col("column_id") + 1).otherwise(F.lit(2**62) + F.col("section"))
+    # Sections follow each other in steps that no column id reaches.
+    pieces = F.col("section").cast("bigint") * F.lit(2**60) + F.coalesce(F.col("column_id"), F.lit(0))
     wide = sized.filter(F.col("_width") > widest).select(
         *table, F.col("line").alias("text"), pieces.cast("bigint").alias("piece"))
     return whole.unionByName(wide)

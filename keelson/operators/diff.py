@@ -208,18 +208,15 @@ class FleetDiff:
 
         def mark(df: DataFrame, side: DataFrame, names: dict[str, str], flag: str, scope: str) -> DataFrame:
             renamed = side.select(scope, *[F.col(k).alias(v) for k, v in names.items()], F.col("_has").alias(flag))
-            return salted_join(df, renamed, [scope, *names.values()], "left", F.col("db"))
+            return salted_join(df, renamed, [scope, *names.values()], "left", F.concat("db", "field"))
 
         rows = self.missing_fks
         rows = mark(rows, tables, {"_t": "_ct"}, "_child", "program_id")
         rows = mark(rows, tables, {"_t": "_pt"}, "_parent", "program_id")
         rows = mark(rows, columns, {"_t": "_ct", "_c": "_cf"}, "_field", "program_id")
-        rows = rows.join(live_tables.select("db", F.col("_t").alias("_ct"), F.col("_has").alias("_child2")),
-                         ["db", "_ct"], "left")
-        rows = rows.join(live_tables.select("db", F.col("_t").alias("_pt"), F.col("_has").alias("_parent2")),
-                         ["db", "_pt"], "left")
-        rows = rows.join(live_columns.select("db", F.col("_t").alias("_ct"), F.col("_c").alias("_cf"),
-                                             F.col("_has").alias("_field2")), ["db", "_ct", "_cf"], "left")
+        rows = mark(rows, live_tables, {"_t": "_ct"}, "_child2", "db")
+        rows = mark(rows, live_tables, {"_t": "_pt"}, "_parent2", "db")
+        rows = mark(rows, live_columns, {"_t": "_ct", "_c": "_cf"}, "_field2", "db")
         no_table = F.coalesce("_child", "_child2").isNull() | F.coalesce("_parent", "_parent2").isNull()
         reason = F.when(no_table, F.lit("table not found")).when(
             F.coalesce("_field", "_field2").isNull(), F.lit("column not found"))

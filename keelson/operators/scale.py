@@ -8,7 +8,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
+FEWEST_SALTS, MOST_SALTS = 4, 64
+
+
+def salt_count(spark: SparkSession) -> int:
+    """Sub-keys for a hot key: an eighth of the shuffle partitions, within bounds."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(FEWEST_SALTS, min(MOST_SALTS, partitions // 8))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,13 +45,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def salted_join(many: DataFrame, few: DataFrame, on: list[str], how: str, spread: Column,
-                salts: int = SALTS) -> DataFrame:
+                salts: int | None = None) -> DataFrame:
     """Join where one key may own a large part of ``many``.
 
     Rows of ``many`` are spread over ``salts`` sub-keys by ``spread``, a value taken
     from the row itself, so that a re-run task places them alike; ``few`` is repeated
     once per sub-key. Exact for inner, left, left_semi and left_anti joins.
     """
+    salts = salts or salt_count(many.sparkSession)
     left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.operators.scale import cut_lineage
 
+# Levels held as separate frames before they are written together.
+KEPT_APART = 32
+
 
 
 def load_order(tables: DataFrame, fks: DataFrame, scope: list[str], most_rounds: int = 10_000) -> DataFrame:
@@ -18,28 +23,30 @@ def load_order(tables: DataFrame, fks: DataFrame, scope: list[str], most_rounds:
 
     Each round settles the tables whose parents are all settled and lowers the number
     of open parents of their children, so every key is followed exactly once; the number
-    of rounds is the depth of the deepest chain.
+    of rounds is the depth of the deepest chain. Only open tables stay in the loop.
     """
     node = [*scope, "table_name"]
     edges = fks.filter(F.col("child_table") != F.col("parent_table")).select(
         *scope, "child_table", "parent_table").distinct()
+    edges = cut_lineage(edges)
     open_parents = edges.groupBy(*scope, F.col("child_table").alias("table_name")).agg(F.count(F.lit(1)).alias("_open"))
     named = tables.select(*node).unionByName(
         edges.select(*scope, F.explode(F.array("child_table", "parent_table")).alias("table_name"))).distinct()
-    edges = cut_lineage(edges)
     state = cut_lineage(named.join(open_parents, node, "left").select(
-        *node, F.coalesce("_open", F.lit(0).cast("bigint")).alias("_open"), F.lit(None).cast("int").alias("level")))
-    state = state.withColumn("level", F.when(F.col("_open") == 0, F.lit(0)))
-    level = 0
-    while level < most_rounds:
-        settled = state.filter(F.col("level") == level).select(*scope, F.col("table_name").alias("parent_table"))
-        closed = edges.join(settled, [*scope, "parent_table"], "left_semi").groupBy(
-            *scope, F.col("child_table").alias("table_name")).agg(F.count(F.lit(1)).alias("_closed"))
-        after = state.join(closed, node, "left").withColumn("_open", F.col("_open") - F.coalesce("_closed", F.lit(0)))
-        level += 1
-        state = after.select(*node, "_open", F.when(
-            F.col("level").isNull() & (F.col("_open") == 0), F.lit(level)).otherwise(F.col("level")).alias("level"))
-        state = cut_lineage(state)
-        if state.filter(F.col("level") == level).isEmpty():
+        *node, F.coalesce("_open", F.lit(0).cast("bigint")).alias("_open")))
+    levels: list[DataFrame] = []
+    for level in range(most_rounds):
+        settled = state.filter(F.col("_open") == 0)
+        if settled.isEmpty():
             break
-    return state.select(*node, "level", F.when(F.col("level").isNull(), F.lit("cycle")).alias("reason"))
+        levels.append(settled.select(*node, F.lit(level).alias("level")))
+        if len(levels) == KEPT_APART:
+            levels = [cut_lineage(reduce(DataFrame.unionByName, levels))]
+        closed = edges.join(
+            settled.select(*scope, F.col("table_name").alias("parent_table")), [*scope, "parent_table"], "left_semi"
+        ).groupBy(*scope, F.col("child_table").alias("table_name")).agg(F.count(F.lit(1)).alias("_closed"))
+        state = cut_lineage(state.filter(F.col("_open") > 0).join(closed, node, "left").select(
+            *node, (F.col("_open") - F.coalesce("_closed", F.lit(0))).alias("_open")))
+    rest = state.filter(F.col("_open") > 0).select(*node, F.lit(None).cast("int").alias("level"))
+    return reduce(DataFrame.unionByName, [*levels, rest]).withColumn(
+        "reason", F.when(F.col("level").isNull(), F.lit("cycle")))

@@ -189,12 +189,16 @@ def report_totals(report: DataFrame) -> DataFrame:
         F.count(F.col("error")).alias("n_errors"))
 
 
-def _transfer_table(spark: SparkSession, source, target, rejects, table: str, rules: Rules, append: bool) -> tuple:
+def _transfer_table(spark: SparkSession, source, target, rejects, landing, table: str, rules: Rules,
+                    append: bool) -> tuple:
     targets = rules.targets or targets_of(target.schema(spark, table))
     names = common_columns(source.schema(spark, table).names, [t.name for t in targets])
     if not names:
         return (table, "skipped", 0, 0, 0, 0, None)
     df = source.read(spark, table, [s for s, _ in names])
+    if landing is not None:
+        landing.replace(df, table)
+        df = landing.read(spark, table)
     rows = split_rows(df, targets, rules)
     seen = Observation(f"transfer {table}")
     write = target.append if append else target.replace
@@ -209,16 +213,18 @@ def _transfer_table(spark: SparkSession, source, target, rejects, table: str, ru
 
 
 def transfer(spark: SparkSession, source, target, tables: list[str], rules: dict[str, Rules] | None = None,
-             rejects=None, append: bool = False, at_once: int = 4) -> DataFrame:
+             rejects=None, landing=None, append: bool = False, at_once: int = 4) -> DataFrame:
     """Copy tables from one store to another; returns the report, one row per table.
 
     Each table is a full refresh (or an append). Rejected rows go to the ``rejects``
-    store, in a second pass only when there are any. A failing table is reported and
-    does not stop the others; ``at_once`` tables run side by side.
+    store, in a second pass only when there are any. Give a ``landing`` store where the
+    source is costly to read or changes meanwhile: both passes then read the landed copy.
+    A failing table is reported and does not stop the others; ``at_once`` tables run side
+    by side.
     """
     def run(table: str) -> tuple:
         try:
-            return _transfer_table(spark, source, target, rejects, table, (rules or {}).get(table, Rules()), append)
+            return _transfer_table(spark, source, target, rejects, landing, table, (rules or {}).get(table, Rules()), append)
         except Exception as failure:  # noqa: BLE001 - any failure is a row of the report
             return (table, "failed", 0, 0, 0, 0, f"{type(failure).__name__}: {str(failure).splitlines()[0]}")
 

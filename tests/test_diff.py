@@ -81,6 +81,13 @@ def test_wide_tables_keep_all_lines_in_order(spark):
                              "    PRIMARY KEY (`id`)\n) ENGINE=InnoDB DEFAULT CHARSET=utf8mb4;")
 
 
+def test_a_very_wide_key_is_one_line_per_name(spark, monkeypatch):
+    monkeypatch.setattr(ddl, "MOST_KEYS", 2)
+    rows = spark.createDataFrame([(1, "t", i, f"c{i}", "adLong", True, True, 0) for i in range(3)], DECLARED)
+    text = ddl.create_statements(rows, "MySQL", ["program_id"]).first().text
+    assert "    PRIMARY KEY (`c0`,\n        `c1`,\n        `c2`)\n)" in text
+
+
 def test_scripts_are_written_in_order(spark, tmp_path):
     programs = spark.createDataFrame([(1, "p")], "program_id bigint, name string")
     relations = spark.createDataFrame([(5, 1, "Clients", "Orders", "id", "", False, None), (2, 1, "Clients", "Orders", "paid", "", False, None)],

@@ -52,7 +52,8 @@ def test_legacy_clamp_is_optional(spark):
 def test_conversions_are_not_repeated_by_the_filter(spark):
     df = spark.range(5).select(F.col("id").cast("string").alias("d"))
     plan = job.accepted(job.split_rows(df, [Target("d", ty.DATE, True)], Rules({"d": ty.DATE})))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("try_cast(regexp_replace") == 4  # one per layout
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("regexp_replace" in line for line in filters)
     assert "Exchange" not in plan and "Python" not in plan
 
 
