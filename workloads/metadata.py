@@ -295,12 +295,14 @@ ENTRIES = Recipe("documents", {
 PHRASES = Recipe("documents", {
     "doc_id": "doc_id", "lang": "lang", "phrase": "CASE WHEN doc_id % 3 = 0 THEN 'COMMON' WHEN doc_id % 50 = 1 THEN '  ' ELSE substring(text, 1, 3) || ' ' END",
     "fallback": "CASE WHEN doc_id % 2 = 0 THEN 'fallback ' || source ELSE '' END"})
+# Keys are trimmed of every kind of blank, line ends included.
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 QUERIES["dict_lookup"] = Query(
     lambda spark, sf: dictionary.lookup(PHRASES.df(spark, sf), ENTRIES.df(spark, sf), "phrase", "lang", F.col("fallback")),
-    f"""WITH e AS (SELECT lang_id, lower(trim(original)) AS k, arg_min(COALESCE(translation, original), entry_id) AS t FROM ({ENTRIES.sql})
+    f"""WITH e AS (SELECT lang_id, lower(trim(original, {BLANKS})) AS k, arg_min(COALESCE(translation, original), entry_id) AS t FROM ({ENTRIES.sql})
            WHERE {SHOWN} AND COALESCE(original, '') <> '' GROUP BY ALL)
-    SELECT p.*, CASE WHEN trim(phrase) = '' THEN fallback WHEN e.t IS NOT NULL THEN e.t WHEN fallback <> '' THEN fallback ELSE phrase END AS translated
-    FROM ({PHRASES.sql}) p LEFT JOIN e ON lang_id = lang AND k = lower(trim(phrase))""")
+    SELECT p.*, CASE WHEN trim(phrase, {BLANKS}) = '' THEN fallback WHEN e.t IS NOT NULL THEN e.t WHEN fallback <> '' THEN fallback ELSE phrase END AS translated
+    FROM ({PHRASES.sql}) p LEFT JOIN e ON lang_id = lang AND k = lower(trim(phrase, {BLANKS}))""")
 QUERIES["dict_deduplicate"] = Query(
     lambda spark, sf: dictionary.without_duplicates(ENTRIES.df(spark, sf)),
     f"SELECT * FROM ({ENTRIES.sql}) QUALIFY row_number() OVER (PARTITION BY lang_id, original ORDER BY entry_id) = 1")
