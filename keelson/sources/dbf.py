@@ -26,6 +26,7 @@ from pyspark.sql.datasource import (
 
 from keelson.functions.encode import fixed_width
 from keelson.functions.text import DBASE_NAME
+from keelson.sources.stores import qualified
 
 # Fixed values of the file layout.
 HEADER_SIZE, FIELD_SIZE = 32, 32
@@ -98,7 +99,10 @@ def field_for(f: T.StructField, text_length: int = 254) -> Field:
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    """File system of a path and the path inside it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
 def _files(path: str) -> list[str]:
@@ -320,7 +324,7 @@ def write_dbf(df: DataFrame, path: str, fields: list[Field] | None = None, mode:
     named = [Field(short[s.name], f.kind, f.length, f.decimals) for s, f in zip(df.schema, fields)]
     text = "\n".join(f"{f.name}|{f.kind}|{f.length}|{f.decimals}" for f in named)
     record_text(df, named).write.format("dbf").mode(mode).option("fields", text).option(
-        "rowsPerFile", rows_per_file).save(path)
+        "rowsPerFile", rows_per_file).save(qualified(df.sparkSession, path))
 
 
 def read_dbf(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
@@ -329,4 +333,4 @@ def read_dbf(spark: SparkSession, path: str, names: list[str] | None = None) ->
     reader = spark.read.format("dbf")
     if names:
         reader = reader.option("columnNames", "\n".join(names))
-    return reader.load(path)
+    return reader.load(qualified(spark, path))

@@ -20,6 +20,11 @@ def _file_system(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, so that code outside the JVM means the same place."""
+    return _file_system(spark, path).makeQualified(_path(spark, path)).toString()
+
+
 def swap_folder(spark: SparkSession, staged: str, target: str) -> None:
     """Put a finished folder in place of another; the old one goes last."""
     fs = _file_system(spark, target)
