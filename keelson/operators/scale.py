@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,14 +19,11 @@ def salt_count(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
-    A temporary one is made only where the cluster names none (tests on one machine).
+    Where the cluster names none it lies in the session's warehouse, which all of them share too.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keelson-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    named = named or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    return named.rstrip("/")
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
