@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FEWEST_SALTS, MOST_SALTS = 4, 64
+FEWEST_SALTS = 4
 
 
 def salt_count(spark: SparkSession) -> int:
-    """Sub-keys for a hot key: an eighth of the shuffle partitions, within bounds."""
+    """Sub-keys for a hot key: an eighth of the shuffle partitions, so that it follows the cluster's width."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(FEWEST_SALTS, min(MOST_SALTS, partitions // 8))
+    return max(FEWEST_SALTS, partitions // 8)
 
 
 def shared_folder(spark: SparkSession) -> str:

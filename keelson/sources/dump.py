@@ -34,7 +34,7 @@ def _field(n: int) -> Column:
 
 def _id(n: int) -> Column:
     text = _field(n)
-    return F.when(text.rlike(r"^[+-]?\d+$"), text).try_cast("int").cast("bigint")
+    return F.when(text.rlike(r"^[+-]?\d+$"), text).try_cast("bigint")
 
 
 def parse_programs(lines: DataFrame) -> DataFrame:

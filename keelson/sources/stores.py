@@ -41,6 +41,14 @@ def swap_folder(spark: SparkSession, staged: str, target: str) -> None:
         fs.delete(_path(spark, old), True)
 
 
+def conformed(df: DataFrame, columns: T.StructType) -> DataFrame:
+    """``df`` with exactly these columns, matched without case; those it lacks are NULL."""
+    given = {c.lower(): c for c in df.columns}
+    return df.select(*[
+        (F.col(f"`{given[f.name.lower()]}`") if f.name.lower() in given else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in columns])
+
+
 @dataclass(frozen=True)
 class FileStore:
     """Tables as folders (or files ending in the format's name) below one path."""
@@ -67,15 +75,34 @@ class FileStore:
     def schema(self, spark: SparkSession, table: str) -> T.StructType:
         return self.read(spark, table).schema
 
+    def _place(self, spark: SparkSession, table: str) -> tuple[str, T.StructType | None]:
+        """Where the table is, or would be, and its columns if it is there."""
+        try:
+            place = self.location(spark, table)
+        except FileNotFoundError:
+            return f"{self.path.rstrip('/')}/{table}", None
+        return place, self.schema(spark, table)
+
     def replace(self, df: DataFrame, table: str) -> None:
-        """Full refresh: written aside, then swapped in, so a failed job leaves the old rows."""
-        target = f"{self.path.rstrip('/')}/{table}"
+        """Full refresh in the table's place; columns that ``df`` lacks stay and become NULL.
+
+        The rows are written aside, then swapped in, so a failed job leaves the old ones.
+        """
+        spark = df.sparkSession
+        target, columns = self._place(spark, table)
         staged = f"{self.path.rstrip('/')}/_staged-{table}-{uuid.uuid4().hex}"
-        df.write.format(self.format).mode("errorifexists").save(staged)
-        swap_folder(df.sparkSession, staged, target)
+        (conformed(df, columns) if columns else df).write.format(self.format).mode("errorifexists").save(staged)
+        swap_folder(spark, staged, target)
 
     def append(self, df: DataFrame, table: str) -> None:
-        df.write.format(self.format).mode("append").save(f"{self.path.rstrip('/')}/{table}")
+        """Adds rows; columns that ``df`` lacks are NULL in them."""
+        spark = df.sparkSession
+        target, columns = self._place(spark, table)
+        rows = conformed(df, columns) if columns else df
+        if columns and _file_system(spark, target).getFileStatus(_path(spark, target)).isFile():
+            self.replace(self.read(spark, table).unionByName(rows), table)  # nothing can be added to a single file
+        else:
+            rows.write.format(self.format).mode("append").save(target)
 
 
 @dataclass(frozen=True)
@@ -103,15 +130,15 @@ class CatalogStore:
         if not spark.catalog.tableExists(f"{self.database}.{table}"):
             df.write.saveAsTable(self._name(table))
             return
-        given = {c.lower(): c for c in df.columns}
-        row = [
-            (F.col(f"`{given[f.name.lower()]}`") if f.name.lower() in given else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in self.schema(spark, table)
-        ]
-        df.select(*row).write.insertInto(self._name(table), overwrite=True)
+        conformed(df, self.schema(spark, table)).write.insertInto(self._name(table), overwrite=True)
 
     def append(self, df: DataFrame, table: str) -> None:
-        df.write.mode("append").saveAsTable(self._name(table))
+        """Adds rows; table columns that ``df`` lacks are NULL in them."""
+        spark = df.sparkSession
+        if spark.catalog.tableExists(f"{self.database}.{table}"):
+            conformed(df, self.schema(spark, table)).write.insertInto(self._name(table))
+        else:
+            df.write.saveAsTable(self._name(table))
 
 
 # Driver settings that make large reads stream.

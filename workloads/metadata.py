@@ -143,12 +143,12 @@ def field(n: int) -> str:
 
 
 PARSED = f"""
-    dp AS (SELECT TRY_CAST({field(1)} AS INTEGER) AS id, {field(2)} AS name,
+    dp AS (SELECT TRY_CAST({field(1)} AS BIGINT) AS id, {field(2)} AS name,
                   CASE WHEN len(string_split(value, chr(9))) > 2 THEN {field(3)} END AS version FROM ({PROGRAM_LINES.sql})
            WHERE regexp_full_match({field(1)}, '[0-9]+')),
-    dt AS (SELECT TRY_CAST({field(1)} AS INTEGER) AS id, TRY_CAST({field(2)} AS INTEGER) AS program_id, {field(3)} AS table_name, {field(4)} AS version
-           FROM ({TABLE_LINES.sql}) WHERE len(string_split(value, chr(9))) >= 2 AND TRY_CAST({field(2)} AS INTEGER) IS NOT NULL),
-    dc AS (SELECT TRY_CAST({field(1)} AS INTEGER) AS id, TRY_CAST({field(2)} AS INTEGER) AS table_id, {field(3)} AS column_name,
+    dt AS (SELECT TRY_CAST({field(1)} AS BIGINT) AS id, TRY_CAST({field(2)} AS BIGINT) AS program_id, {field(3)} AS table_name, {field(4)} AS version
+           FROM ({TABLE_LINES.sql}) WHERE len(string_split(value, chr(9))) >= 2 AND TRY_CAST({field(2)} AS BIGINT) IS NOT NULL),
+    dc AS (SELECT TRY_CAST({field(1)} AS BIGINT) AS id, TRY_CAST({field(2)} AS BIGINT) AS table_id, {field(3)} AS column_name,
                   CASE WHEN {field(4)} = '' THEN 'adVariant' ELSE {field(4)} END AS type, NULLIF({field(5)}, '') AS default_value,
                   NULLIF({field(6)}, '') AS field_size, CASE WHEN lower({field(7)}) IN ('', 'yes') THEN 'YES' ELSE {field(7)} END AS allow_null,
                   NULLIF({field(8)}, '') AS indexed, lower({field(9)}) = 'true' AS is_key
