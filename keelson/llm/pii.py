@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import BROADCAST_ROWS, stored
+from keelson.llm.common import join_small, stored
 from keelson.llm.spans import KINDED, SPAN, matches, once, replaced
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
@@ -82,16 +82,12 @@ def revealing(near: DataFrame, texts: DataFrame, generalise: float, remove: floa
     pairs = near.select("entity", "term", "same").distinct()
     known = pairs.groupBy("entity").agg(F.count_distinct("same").alias("n")).filter(F.col("n") >= fewest).select("entity")
     both = pairs.join(known, "entity").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= fewest)
-    both = stored(both, "pairs")
-    terms = stored(both.select("term").distinct(), "terms")
-    n_terms = terms.count()
+    # Texts of their own are counted within the tasks already; only the words of repeated texts go with their text's key.
+    repeated = texts.groupBy("same").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("same", F.col("same").alias("copied"))
+    marked = join_small(texts, stored(repeated, "repeated"), ["same"], "left")
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(TERM), F.lit(0)))).alias("term")
-    # Words that nothing was found beside are of no use: they are left out before the shuffle where the list is short
-    # enough to be sent everywhere, and after counting otherwise.
-    if n_terms <= BROADCAST_ROWS:
-        uses = texts.select("same", words).join(F.broadcast(terms), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    else:
-        uses = texts.select("same", words).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms, "term", "left_semi")
+    counted = marked.select("copied", words).groupBy("copied", "term").agg(F.count(F.lit(1)).alias("n"))
+    uses = counted.groupBy("term").agg(F.sum(F.when(F.col("copied").isNull(), F.col("n")).otherwise(1)).alias("n"))
     share = F.col("both") / F.greatest("n", "both")
     found = both.join(uses, "term").withColumn("share", share).filter(F.col("share") >= generalise)
     return found.select("entity", "term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("number"),
