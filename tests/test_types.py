@@ -8,9 +8,9 @@ def one(spark, column):
 
 
 def test_tables_are_complete():
-    known = ty.type_map()
+    known = ty.TYPE_NAMES
     assert set(known) == set(ty.BACKENDS)
-    assert all(set(row) == set(ty.CANONICAL) for row in ty.ddl_map().values())
+    assert all(set(row) == set(ty.CANONICAL) for row in ty.DDL_NAMES.values())
     assert len(ty.VOCABULARY) == 15
 
 

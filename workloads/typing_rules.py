@@ -37,7 +37,7 @@ BLANK = "(type_text IS NULL OR trim(type_text) = '')"
 
 
 def _known(dialects=None) -> str:
-    rows = [(d, n, c) for d, names in ty.type_map().items() for n, c in names.items() if dialects is None or d in dialects]
+    rows = [(d, n, c) for d, names in ty.TYPE_NAMES.items() for n, c in names.items() if dialects is None or d in dialects]
     return values("known", ["dialect", "name", "canonical"], rows)
 
 
@@ -46,7 +46,7 @@ def _ranked() -> str:
 
 
 ANY = "any_of AS (SELECT name, arg_min(canonical, rank) AS canonical FROM known JOIN ranked USING (dialect) GROUP BY name)"
-DDL = values("ddl", ["dialect", "canonical", "declared"], [(d, c, t) for d, row in ty.ddl_map().items() for c, t in row.items()])
+DDL = values("ddl", ["dialect", "canonical", "declared"], [(d, c, t) for d, row in ty.DDL_NAMES.items() for c, t in row.items()])
 X = f"x AS (SELECT *, {BASE} AS base FROM ({ENTRY.sql}))"
 
 # ---- resolve ----
