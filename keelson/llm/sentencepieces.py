@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.common import giving_back
 from keelson.llm.pieces import MOST_NODES, UNITS, Sampler, Vocabulary, decode, spell
 from keelson.llm.token_counts import TOGETHER, VOCABULARY
 
@@ -51,7 +52,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, seed: int = 42) -> DataFrame
     """
     row_seed = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_seed.alias("_seed"))
-    return rows.mapInArrow(encoder(Vocabulary(path)), "doc_id long, ids array<int>")
+    return rows.mapInArrow(giving_back(encoder(Vocabulary(path))), "doc_id long, ids array<int>")
 
 
 def decode_rows(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in runs of so many bytes (or one longer text at a time).
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
 ROOT = np.uint64(0x9E3779B97F4A7C15)
 
 
