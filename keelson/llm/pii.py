@@ -1,7 +1,8 @@
-"""Personal data in texts, and terms beside it that give it away though they are not personal data themselves.
+"""Personal data in texts, and terms that give it away though they are not personal data themselves.
 
-How strongly a term reveals an entity is estimated over the corpus: the share of the term's documents in which it stands
-beside the entity. Terms above a first threshold are generalised, above a second one removed.
+How strongly a term reveals an entity is estimated over the corpus: the share of the term's documents that hold the
+entity, both looked for in whole documents. Terms above a first threshold are generalised, above a second one removed,
+wherever they stand.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z
 IP = r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 CARD = r"[0-9]([\x20-]?[0-9])+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Words that may reveal, and how many characters before and after an entity are beside it.
+#: Words that may reveal.
 TERM = r"[\p{L}][\p{L}'-]{3,}"
-BESIDE = 80
+#: Terms that may be broadcast; beyond it their join shuffles.
+FEW_TERMS = 100_000
 
 
 def digits(text: Column) -> Column:
@@ -61,56 +63,76 @@ def entities(text: Column) -> Column:
     return F.array_sort(F.concat(*[part(n, *f) for n, f in enumerate(found)]))
 
 
-def beside(text: Column, found: Column) -> Column:
-    """Terms within reach of each entity: structs of entity, term, start and end."""
+def key(kind: Column, text: Column) -> Column:
+    """One name for an entity however it is written: numbers by their digits, addresses without leading zeros."""
+    parts = F.array_join(F.transform(F.split(text, r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", "")), ".")
+    plain = (F.when(kind == "email", F.regexp_replace(text, "^[.-]+(?=[^@])", "")).when(kind == "ip", parts)
+             .when(kind == "phone", digits(F.regexp_replace(text, r"\(0+\)", ""))).otherwise(digits(text)))
+    return F.concat_ws(":", kind, plain)
 
-    def terms(e: Column) -> Column:
-        low = F.greatest(e["start"] - BESIDE, F.lit(0))
-        inside = lambda m: F.exists(found, lambda o: (o["start"] < m["end"] + low) & (m["start"] + low < o["end"]))
-        return F.transform(F.filter(matches(F.substr(text, low + 1, e["end"] - low + BESIDE), TERM), lambda m: ~inside(m)), lambda m: F.struct(
-            F.concat_ws(":", e["kind"], e["text"]).alias("entity"), F.lower(m["text"]).alias("term"), (m["start"] + low).alias("start"), (m["end"] + low).alias("end")))
 
-    return F.flatten(F.transform(found, terms))
+def blanked(text: Column, found: Column) -> Column:
+    """The text with spaces in the place of its entities; all else stays where it is."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    ordered = F.array_sort(F.transform(found, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))))
+    whole = F.aggregate(ordered, start, lambda acc, e: F.when(e["end"] <= acc["at"], acc).otherwise(once(
+        F.greatest(e["start"], acc["at"]), lambda low: F.struct(e["end"].alias("at"), F.concat(acc["out"], F.array(
+            F.substr(text, acc["at"] + 1, low - acc["at"]), F.repeat(F.lit(" "), e["end"] - low))).alias("out")))),
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+    return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
-def revealing(near: DataFrame, texts: DataFrame, generalise: float, remove: float, fewest: int) -> DataFrame:
-    """``(entity, term, number, kind)`` of the terms that reveal an entity.
+def revealing(seen: DataFrame, generalise: float, remove: float, fewest: int) -> DataFrame:
+    """``(term, number, kind)`` of the terms that reveal an entity, by the entity they reveal most.
 
-    A term counts if it stands beside the entity in at least ``fewest`` different texts, and in so large a share of all
-    different texts that have it. Copies of a text count once.
+    A term counts if at least ``fewest`` different texts hold it and the entity, and they are so large a share of all
+    different texts that hold it. Copies of a text count once.
     """
-    pairs = near.select("entity", "term", "same").distinct()
-    known = pairs.groupBy("entity").agg(F.count_distinct("same").alias("n")).filter(F.col("n") >= fewest).select("entity")
-    both = pairs.join(known, "entity").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= fewest)
+    held = seen.select("same", F.explode(F.array_distinct(F.transform("_found", lambda e: key(e["kind"], e["text"])))).alias("entity")).distinct()
+    # No term stands in more texts with an entity than the entity itself.
+    known = stored(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= fewest).select("entity"), "known")
+    named = held.join(known, "entity").groupBy("same").agg(F.collect_list("entity").alias("entities"))
     # Texts of their own are counted within the tasks already; only the words of repeated texts go with their text's key.
-    repeated = texts.groupBy("same").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("same", F.col("same").alias("copied"))
-    marked = join_small(texts, stored(repeated, "repeated"), ["same"], "left")
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(TERM), F.lit(0)))).alias("term")
-    counted = marked.select("copied", words).groupBy("copied", "term").agg(F.count(F.lit(1)).alias("n"))
-    uses = counted.groupBy("term").agg(F.sum(F.when(F.col("copied").isNull(), F.col("n")).otherwise(1)).alias("n"))
-    share = F.col("both") / F.greatest("n", "both")
+    repeated = seen.groupBy("same").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("same", F.col("same").alias("copied"))
+    marked = join_small(seen.select("same", "_terms"), stored(repeated, "repeated"), ["same"], "left")
+    once_each = F.sum(F.when(F.col("copied").isNull(), F.col("n")).otherwise(1))
+
+    def different(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy("copied", *by).agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(once_each.alias("n"))
+
+    words = F.explode("_terms").alias("term")
+    pairs = join_small(marked, stored(named, "named"), ["same"], "inner").select("copied", "entities", words)
+    both = different(pairs.select("copied", "term", F.explode("entities").alias("entity")), "entity", "term").filter(F.col("n") >= fewest)
+    both = stored(both.groupBy("term").agg(F.max("n").alias("both")), "both")
+    uses = different(join_small(marked.select("copied", words), both.select("term"), ["term"], "left_semi", FEW_TERMS), "term")
+    share = F.col("both") / F.col("n")
     found = both.join(uses, "term").withColumn("share", share).filter(F.col("share") >= generalise)
-    return found.select("entity", "term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("number"),
+    return found.select("term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("number"),
                         F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("kind"))
 
 
 def private_spans(docs: DataFrame, generalise: float = 0.5, remove: float = 0.9, fewest: int = 3, with_text: bool = False) -> DataFrame:
     """Per row: doc_id, base and spans, arrays of (number, start, end, kind) by kind, then start; and clean on demand.
 
-    ``base`` holds the known forms; ``spans`` adds terms beside them that reveal them. ``clean`` is the text with each
+    ``base`` holds the known forms; ``spans`` adds the terms that reveal one, in all their places in all texts, whether
+    the text holds the entity or not; words inside of entities are no terms. ``clean`` is the text with each
     entity as its kind in brackets, terms that are generalised as [TERM] and others removed. NULL counts as empty; empty
     texts have no spans. Copies of a text get the same spans and count once in all shares. Rows without doc_id are
     scanned like others. Extra columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     texts = rows.withColumn("same", F.xxhash64("_t"))
-    scanned = texts.withColumn("_found", entities(F.col("_t")))
     keep = ["doc_id", "same", *(["_t"] if with_text else [])]
-    seen = stored(scanned.select(*keep, "_found", F.when(F.size("_found") > 0, beside(F.col("_t"), F.col("_found"))).alias("_near")), "private")
-    near = seen.select("same", F.explode("_near").alias("n")).select("same", "n.*")
-    found = stored(revealing(near, texts, generalise, remove, fewest), "revealing")
-    extra = near.join(found, ["entity", "term"]).groupBy("same").agg(
-        F.collect_set(F.struct("number", "start", "end", "kind")).alias("extra"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(blanked(F.col("_t"), F.col("_found"))), F.lit(TERM), F.lit(0)))
+    seen = stored(texts.withColumn("_found", entities(F.col("_t"))).select(*keep, "_found", words.alias("_terms")), "private")
+    found = stored(revealing(seen, generalise, remove, fewest), "revealing")
+    hits = join_small(seen.select("same", F.explode("_terms").alias("term")), found, ["term"], "inner", FEW_TERMS).groupBy("same").agg(
+        F.map_from_entries(F.collect_set(F.struct("term", F.struct("number", "kind")))).alias("_hits"))
+    # Only texts that hold such a term are searched for its places.
+    places = lambda t: F.transform(F.filter(matches(t, TERM), lambda m: F.map_contains_key("_hits", F.lower(m["text"]))), lambda m: once(
+        F.element_at("_hits", F.lower(m["text"])), lambda h: F.struct(h["number"].alias("number"), m["start"].alias("start"), m["end"].alias("end"), h["kind"].alias("kind"))))
+    told = join_small(texts.select("same", "_t"), stored(hits, "hits"), ["same"], "inner")
+    extra = told.groupBy("same").agg(F.first(once(once(entities(F.col("_t")), lambda f: blanked(F.col("_t"), f)), places)).alias("extra"))
     base = F.transform("_found", lambda e: F.struct(*[e[c].alias(c) for c in ("number", "start", "end", "kind")])).alias("base")
     out = seen.join(extra, "same", "left").select(*keep, base, "extra")
     spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(KINDED))))

@@ -162,6 +162,18 @@ def test_private(spark, docs, nothing):
     assert pii.private_spans(docs).count() == len(TEXTS)
 
 
+def test_revealing_terms_in_whole_texts(spark):
+    far = " ".join(["filler"] * 40)
+    phones = ["+49 30 1234567", "+49-30-1234567", "+49 (0)30 1234567", "+49 30 12345 67"]
+    rows = [(k, f"Zanzibarite {k} {far} {p} Zanzibarite {far} Zanzibarite") for k, p in enumerate(phones)]
+    rows += [(20, "a Zanzibarite alone"), (21, "a Zanzibarite alone"), (22, None)] + [(30 + k, f"{far} {k}") for k in range(20)]
+    found = {r["doc_id"]: r for r in pii.private_spans(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    for i, text in rows[:6]:
+        want = [(m.start(), m.end()) for m in re.finditer("Zanzibarite", text)]
+        assert [(s["start"], s["end"]) for s in found[i]["spans"] if s["kind"] == "generalise"] == want
+    assert found[20]["clean"] == "a [TERM] alone" and all(not found[i]["spans"] for i in (22, *range(30, 50)))
+
+
 def test_mix(spark, docs, nothing):
     rng = random.Random(2)
     rows = [(i, " ".join("w" * (i % 7 + 1) for _ in range(rng.randrange(1, 60))), rng.choice([None, "a", "b", "c", "d"])) for i in range(3000)]
