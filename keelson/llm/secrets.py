@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.llm.common import stored
-from keelson.llm.spans import SPAN, by_start, matches, of_kind, once
+from keelson.llm.spans import by_start, matches, of_kind, once
 
 KINDS = ("assign", "access", "hex", "random")
 # The forms of known secrets.
@@ -23,15 +23,20 @@ ALPHABETS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
     ("hex", "^[0-9A-F]+$", "0123456789ABCDEF"),
     ("letters", "^[a-z]+$", string.ascii_lowercase),
+    ("letters", "^[A-Z]+$", string.ascii_uppercase),
     ("base32", "^[A-Z2-7]+=*$", string.ascii_uppercase + "234567"),
     ("base36", "^[0-9a-z]+$", string.digits + string.ascii_lowercase),
+    ("letters", "^[A-Za-z]+$", string.ascii_letters),
     ("base64", "^[A-Za-z0-9+/_=-]+$", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"),
 )
-#: Words: what ordinary text has of such length. They tell how well ordinary strings of a length do in the tests.
-ORDINARY = r"^[A-Za-z]?[a-z]+$|^[A-Z]+$|^([A-Za-z]+[-_/=+]*)+$"
+#: Letters of one case agree with their narrow alphabet better than other text does: they are held against their like.
+ONE_CASE = "^([a-z]+|[A-Z]+)$"
+#: Fewest characters of a string that is tested.
+LEAST = 20
 BANDS = (24, 32, 48, 96)
-#: Lengths of the strings of ordinary text, one for each band.
+#: Lengths of the strings that ordinary text is cut into, one for each band; the shorter ones also take what is left.
 PROSE = (22, 28, 40, 64, 128)
+CUT = "(.{22})(.{28})?(.{40})?(.{64})?(.{128})?"
 BINS = 50
 
 
@@ -80,56 +85,67 @@ def battery(text: Column, alphabet: Column) -> Column:
     return once(once(value, test)["e"], lambda e: F.exp(-e) * (1 + e + e * e / 2))
 
 
+def band_and_bin(text: Column) -> Column:
+    """Length band of a string and agreement of its inferred encoding with chance, as a struct with the string's ``alone``:
+    whether it is letters of one case."""
+    alphabet = F.coalesce(*[F.when(text.rlike(pattern), F.lit(letters)) for _, pattern, letters in ALPHABETS])
+    fit = once(F.struct(F.translate(text, "-_=", "+/").alias("s"), alphabet.alias("letters")), lambda v: battery(v["s"], v["letters"]))
+    band = sum((F.when(F.length(text) >= b, 1).otherwise(0) for b in BANDS), F.lit(0))
+    bin_ = F.floor(F.coalesce(F.nanvl(fit, F.lit(0.0)), F.lit(0.0)) * (BINS - 1e-9)).cast("int")
+    return F.struct(text.rlike(ONE_CASE).alias("alone"), band.cast("int").alias("band"), bin_.alias("bin"))
+
+
 def tested(found: Column) -> Column:
-    """Runs with length band, agreement of their inferred encoding with chance, and whether they stand for ordinary text."""
+    """Runs with class, length band, and agreement of their inferred encoding with chance."""
+    return F.transform(found, lambda m: once(band_and_bin(m["text"]), lambda r: F.struct(
+        m["start"].alias("start"), m["end"].alias("end"), r["alone"].alias("alone"), r["band"].alias("band"), r["bin"].alias("bin"))))
 
-    def row(m: Column) -> Column:
-        alphabet = F.coalesce(*[F.when(m["text"].rlike(pattern), F.lit(letters)) for _, pattern, letters in ALPHABETS])
-        fit = battery(F.translate(m["text"], "-_=", "+/"), alphabet)
-        size = m["end"] - m["start"]
-        band = sum((F.when(size >= b, 1).otherwise(0) for b in BANDS), F.lit(0))
-        bin_ = F.floor(F.coalesce(F.nanvl(fit, F.lit(0.0)), F.lit(0.0)) * (BINS - 1e-9)).cast("int")
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), band.cast("int").alias("band"), bin_.alias("bin"),
-                        ((m["start"] < 0) | m["text"].rlike(ORDINARY)).alias("ordinary"))
 
-    return F.transform(found, row)
+def stretches(text: Column) -> Column:
+    """The whole text but for its long runs, without spaces, cut into strings: fewer than 22 characters are left over.
+
+    They stand for what text of their length looks like when it is no secret.
+    """
+    glued = F.regexp_replace(F.regexp_replace(text, RUN, " "), "[^A-Za-z0-9+/_=-]+", "")
+    return F.filter(once(glued, lambda g: F.concat(*[F.regexp_extract_all(g, F.lit(CUT), F.lit(k + 1)) for k in range(len(PROSE))])),
+                    lambda s: s != "")
 
 
-def prose(text: Column, key: Column) -> Column:
-    """One string of ordinary text, without its spaces: where it is taken and how long it is follow from ``key``.
+def ordinary(texts: DataFrame) -> DataFrame:
+    """``(alone, band, bin, null)``: counts of the strings of all ordinary text, summed up within the tasks first.
 
-    It stands for what text of that length looks like when it is no secret.
+    All count for strings of any kind; their letters in one case count for strings of letters of one case.
     """
-    size = F.element_at(F.array(*[F.lit(n) for n in PROSE]), (F.pmod(key, F.lit(len(PROSE))) + 1).cast("int"))
-    at = F.pmod(F.shiftright(key, 8), F.greatest(F.length(text) - size * 3, F.lit(1))).cast("int") + 1
-    glued = F.substr(F.regexp_replace(F.substr(text, at, size * 3), "[^A-Za-z0-9+/_=-]", ""), F.lit(1), size)
-    one = lambda g: F.when(F.length(g) == size, F.array(F.struct(F.lit(-1).alias("start"), (size - 1).alias("end"), g.alias("text")))).otherwise(
-        F.array().cast(SPAN))
-    return once(glued, one)
+    whole = F.transform(F.col("s"), band_and_bin)
+    folded = F.transform(F.filter(F.transform(F.col("s"), lambda s: F.regexp_replace(F.lower(s), "[^a-z]", "")), lambda s: F.length(s) >= LEAST), band_and_bin)
+    cells = texts.select(stretches(F.col("_t")).alias("s")).select(F.explode(F.concat(
+        F.transform(whole, lambda r: F.struct(F.lit(False).alias("alone"), r["band"].alias("band"), r["bin"].alias("bin"))), folded)).alias("r"))
+    return cells.groupBy("r.alone", "r.band", "r.bin").agg(F.count(F.lit(1)).alias("null"))
 
 
-def thresholds(rows: DataFrame, rate: float) -> dict[int, int]:
-    """Lowest bin per length band at which the false-discovery rate of Benjamini and Hochberg stays within ``rate``.
+def thresholds(rows: DataFrame, nulls: DataFrame, rate: float) -> dict[tuple[bool, int], int]:
+    """Lowest bin per class and length band at which the false-discovery rate of Benjamini and Hochberg stays within ``rate``.
 
-    A string's chance is the share of strings of ordinary text of its band, taken from all documents, that agree with
-    randomness as well as it does; there are at most (bands x bins) rows to look at.
+    A string's chance is the share of strings of ordinary text of its class and band, taken from all documents, that agree
+    with randomness as well as it does; there are at most (classes x bands x bins) rows to look at.
     """
-    counts = rows.select(F.explode("runs").alias("r")).groupBy("r.band", "r.bin").agg(
-        F.sum(F.when(F.col("r.ordinary"), 1).otherwise(0)).alias("null"), F.sum(F.when(F.col("r.ordinary"), 0).otherwise(1)).alias("some"))
-    above = Window.partitionBy("band").orderBy(F.desc("bin"))
-    whole = Window.partitionBy("band")
+    cell = ["alone", "band", "bin"]
+    runs = rows.select(F.explode("runs").alias("r")).groupBy("r.alone", "r.band", "r.bin").agg(F.count(F.lit(1)).alias("some"))
+    counts = runs.join(nulls, cell, "full").select(*cell, F.coalesce("null", F.lit(0)).alias("null"), F.coalesce("some", F.lit(0)).alias("some"))
+    whole = Window.partitionBy("alone", "band")
+    above = whole.orderBy(F.desc("bin"))
     chance = (1 + F.sum("null").over(above)) / (1 + F.sum("null").over(whole))
-    ranked = counts.select("band", "bin", "some", (chance * F.sum("some").over(whole) / F.sum("some").over(above)).alias("fdr"))
-    best = ranked.filter((F.col("some") > 0) & (F.col("fdr") <= rate)).groupBy("band").agg(F.min("bin").alias("bin"))
-    return {r["band"]: r["bin"] for r in best.collect()}
+    ranked = counts.select(*cell, "some", (chance * F.sum("some").over(whole) / F.sum("some").over(above)).alias("fdr"))
+    best = ranked.filter((F.col("some") > 0) & (F.col("fdr") <= rate)).groupBy("alone", "band").agg(F.min("bin").alias("bin"))
+    return {(r["alone"], r["band"]): r["bin"] for r in best.collect()}
 
 
 def secret_spans(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """Per row: doc_id, base and spans, arrays of (start, number, end, kind) by start, then kind.
 
     ``base`` holds the known forms; ``spans`` adds random strings (runs of at least 20 characters that pass the battery
-    and overlap no known form). NULL counts as empty; empty texts have none. Rows are judged one by one, repeated ones
-    alike, though all count for the shares. Extra columns are ignored. Texts are read once and not shuffled.
+    and overlap no known form), whatever their shape. NULL counts as empty; empty texts have none. Rows are judged one by one, repeated ones
+    alike, though all count for the shares. Extra columns are ignored. Texts are read twice and not shuffled.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     value = lambda m: F.length(F.regexp_extract(m["text"], ASSIGN, 2)) >= ASSIGNED
@@ -137,16 +153,16 @@ def secret_spans(docs: DataFrame, rate: float = 0.05) -> DataFrame:
                     of_kind(matches(F.col("_t"), HEX), 2, "hex"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_t")).select(
         "doc_id", by_start(base).alias("base"), 
-        tested(F.concat(matches(F.col("_t"), RUN), prose(F.col("_t"), F.xxhash64("doc_id", "_t")))).alias("runs"))
+        tested(matches(F.col("_t"), RUN)).alias("runs"))
     rows = stored(rows, "secrets")
-    limit = thresholds(rows, rate)
+    limit = thresholds(rows, ordinary(docs.select(text.alias("_t"))), rate)
 
     def flagged(r: Column) -> Column:
         need = F.lit(BINS)
-        for b, v in limit.items():
-            need = F.when(r["band"] == b, F.lit(v)).otherwise(need)
+        for (alone, b), v in limit.items():
+            need = F.when((r["alone"] == alone) & (r["band"] == b), F.lit(v)).otherwise(need)
         free = ~F.exists("base", lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"]))
-        return ~r["ordinary"] & (r["bin"] >= need) & free
+        return (r["bin"] >= need) & free
 
     extra = F.transform(F.filter("runs", flagged), lambda r: F.struct(
         r["start"].alias("start"), F.lit(3).alias("number"), r["end"].alias("end"), F.lit("random").alias("kind")))

@@ -147,6 +147,25 @@ def test_random_strings_are_found(spark):
     assert len(hit & set(range(40))) >= 30 and not hit - set(range(40))
 
 
+def test_random_letters_are_found(spark):
+    import string
+
+    rng = random.Random(6)
+    prose = "The people of the town were there all the summer and the rest of the year at sea to meet the new teacher at the gate".split()
+    kinds = (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters)
+    keys = ["".join(rng.choice(kinds[k % 3]) for _ in range(60)) for k in range(60)]
+    rows = [(i, " ".join([*rng.choices(prose, k=150), *keys[i:i + 1], *rng.choices(prose, k=50), "-".join(prose[:8])])) for i in range(400)]
+    found = secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).filter("size(spans) > size(base)").collect()
+    hit = {r["doc_id"] for r in found}
+    assert all(len([i for i in hit if i < 60 and i % 3 == k]) >= 15 for k in range(3)) and not [i for i in hit if i >= 60]
+
+
+def test_ordinary_text_is_counted_whole(spark):
+    text = " ".join(["word"] * 5000)
+    counts = secrets.ordinary(spark.createDataFrame([(text,), ("",), ("short",)], "_t string")).filter("not alone").groupBy("band").sum("null").collect()
+    assert sum((22, 28, 40, 64, 128)[r[0]] * r[1] for r in counts) > 20000 - 22
+
+
 def test_private(spark, docs, nothing):
     plain = "a.b@c-d.org, 10.0.0.255 256.1.1.1 000255.1.1.1, 4111 1111-1111 1111 +49 (30) 1234567 +1 2 x@y 9.9.9"
     rows = [(1, plain), (2, None), (3, "")] + [(10 + k, f"the {w} Zanzibarite wrote to jo@ex.org about {w}") for k, w in enumerate(("red", "blue", "green", "black"))]
