@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keelson.llm import exact_dedup, mixing, near_vectors, ngram_join, pii, quality, secrets, sentencepieces, spans, token_counts, toxicity
+from keelson.llm import (
+    divergence, exact_dedup, mixing, near_vectors, ngram_join, pii, quality, secrets, sentencepieces, spans, token_counts, toxicity, whitening,
+    winnowing)
 from keelson.llm.common import table
 
 
@@ -55,9 +57,25 @@ def op10_sampled_pieces(spark, sf_dir):
     return ids.select("doc_id", F.size("ids").alias("n_pieces"), "ids")
 
 
+def op11_benchmark_winnowing(spark, sf_dir):
+    found = winnowing.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = found.withColumn("n_hit", winnowing.hit_words(F.col("spans")))
+    return hit.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_chebyshev_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_vector_near_duplicates, op2_ngram_jaccard_join, op3_secret_battery, op4_token_counts, op5_private_terms, op6_source_mix,
-    op7_quality_nbsvm, op8_toxicity_chain, op9_exact_duplicates, op10_sampled_pieces)}
+    op7_quality_nbsvm, op8_toxicity_chain, op9_exact_duplicates, op10_sampled_pieces,
+    op11_benchmark_winnowing, op12_source_divergence, op13_chebyshev_whitening)}
 
 _COMPONENTS = """
 reach(node, seen) AS (SELECT a, a FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.seen),
@@ -91,4 +109,41 @@ FROM sets d LEFT JOIN least ON least.node = d.doc_id""",
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM t JOIN g USING (t)""",
+    "op11_benchmark_winnowing": r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS key FROM (
+  SELECT item_id, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+places AS (SELECT id, m, i, array_to_string(w[i:i + m - 1], ' ') AS key FROM (
+  SELECT id, w, m, unnest(range(1, greatest(len(w) - m + 2, 1))) AS i FROM d CROSS JOIN (SELECT DISTINCT m FROM windows))),
+hits AS (SELECT id, p.m, i, item_id FROM places p JOIN windows USING (m, key)),
+covered AS (SELECT id, count(DISTINCT spot) AS n_hit FROM (SELECT id, unnest(range(i, i + m)) AS spot FROM hits) GROUP BY id),
+held AS (SELECT id, count(DISTINCT item_id) AS n_items, list_sort(list(DISTINCT item_id)) AS items FROM hits GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (id) LEFT JOIN held USING (id)""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+tokens AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM tokens GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+used AS (SELECT lang, source, term, count(*) AS n, any_value(lang_n) AS lang_n FROM tokens JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+totals AS (SELECT g.lang, g.source, coalesce(sum(u.n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN used u USING (lang, source) GROUP BY g.lang, g.source),
+shares AS (SELECT t.lang, t.source, k.term, coalesce(u.n, 0) AS n,
+  1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 2)) // (t.total + 2 * l.v)::HUGEINT AS p,
+  1 + (1000000000::HUGEINT * (k.lang_n + 2)) // (l.lang_total + 2 * l.v)::HUGEINT AS q
+  FROM totals t JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN used u ON u.lang = t.lang AND u.source = t.source AND u.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+  FROM totals a JOIN totals b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source),
+leaning AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM shares WHERE n > 0 AND p > q),
+both_parts AS (SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term', * FROM leaning),
+ranked AS (SELECT lang, source, part, item, value::BIGINT AS value,
+  row_number() OVER (PARTITION BY part, lang, source ORDER BY value DESC, encode(item))::INTEGER AS rank FROM both_parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }
