@@ -73,12 +73,14 @@ class Fit:
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = np.zeros(shape, kind)
-            for _, x in matrices(batches, dims):
-                found += add(x)
+            for batch in batches:
+                for width, cells in zip(batch["width"].to_pylist(), batch["cells"], strict=True):
+                    x = np.frombuffer(cells.as_buffer(), f"<i{width}").astype(np.int64).reshape(-1, dims)
+                    found += add(x)
             cells = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, shape[1]), pa.int32()), pa.array(found.ravel(), typed))
             yield pa.RecordBatch.from_arrays([pa.array(range(shape[0]), pa.int32()), cells], ["row", "cells"])
 
-        partial = self.rows.mapInArrow(giving_back(sums), f"row int, cells array<{name}>")
+        partial = self.rows.mapInArrow(sums, f"row int, cells array<{name}>")
         if self.tasks * shape[0] * shape[1] * 8 > GATHERED:
             partial = partial.groupBy("row").agg(F.array(*[F.sum(F.col("cells")[j]) for j in range(shape[1])]).alias("cells"))
         table = partial.toArrow()
@@ -92,6 +94,17 @@ class Fit:
         return lambda x: (x - base) - part
 
 
+def packer(dims: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs of vectors as one binary each, of numbers of four bytes where they fit: passes then read no lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x in matrices(batches, dims):
+            width = 4 if len(x) and -(2**31) <= x.min() and x.max() < 2**31 else 8
+            yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([x.astype(f"<i{width}").tobytes()], pa.binary())], ["width", "cells"])
+
+    return run
+
+
 def fit(x: DataFrame) -> Fit | None:
     """The fit list of ``x``: its distinct vectors, written once. None without vectors.
 
@@ -101,7 +114,8 @@ def fit(x: DataFrame) -> Fit | None:
     if most is None:
         return None
     dims = most["dims"]
-    rows = stored(x.filter(F.size("x") == dims).select("x").distinct(), "distinct-vectors")
+    own = x.filter(F.size("x") == dims).select("x").distinct()
+    rows = stored(own.mapInArrow(giving_back(packer(dims)), "width int, cells binary"), "distinct-vectors")
     found = Fit(rows, dims, rows.rdd.getNumPartitions())
     # Sums of the high and the low halves, so that none leaves the range of a long; the last row counts.
     halves = found.total((3, dims), lambda x: np.stack([(x >> 31).sum(axis=0), (x & 0x7FFFFFFF).sum(axis=0), np.full(dims, len(x))]), np.int64)
