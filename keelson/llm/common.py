@@ -32,6 +32,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Name of a row's own number.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, written once so that it stays the same in all that reads them."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def giving_back(run: Callable) -> Callable:
     """A ``mapInArrow`` function that hands its freed memory back to the system when it ends: Python workers live on, and
     what they keep would add up over the stages of a job."""
@@ -54,9 +63,12 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def join_small(rows: DataFrame, keys: DataFrame, on: list[str], how: str, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins wide rows with narrow keys: by broadcast if the counted keys are within the bound, else by shuffle."""
-    return rows.join(F.broadcast(keys) if keys.count() <= bound else keys, on, how)
+def join_small(rows: DataFrame, keys: DataFrame, on: list[str], how: str, bound: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """Joins wide rows with narrow keys: by broadcast if the counted keys are within the bound, else by shuffle.
+
+    ``weight`` says how many keys a row counts for where rows hold arrays."""
+    n = keys.count() if weight is None else keys.agg(F.sum(weight + 1)).first()[0] or 0
+    return rows.join(F.broadcast(keys) if n <= bound else keys, on, how)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

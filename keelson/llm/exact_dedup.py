@@ -144,7 +144,16 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
                          keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
 
 
+#: Digests of texts that may be broadcast: some 30 MB once hashed.
+COPIED = 200_000
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they are."""
-    dropped = stored(exact_dedup(docs).filter("not kept").select("doc_id").distinct(), "dropped")
-    return join_small(docs, dropped, ["doc_id"], "left_anti").select(*docs.columns)
+    """One row of ``docs`` for each text, all columns as they are: of equal texts (but for A-Z) the row with the largest
+    doc_id, one without doc_id only where no other has the text, and one row of those that repeat. A row is judged by its
+    text alone: others that share its doc_id, or lack one too, do not matter."""
+    copied = stored(exact_dedup(docs).filter("group_size > 1").select(F.col("text_sha256").alias("__sha")).distinct(), "copied")
+    rows = docs.withColumn("__sha", F.sha2(lower_ascii(F.col("text")), 256))
+    kept = join_small(rows, copied, ["__sha"], "left_semi", COPIED).groupBy("__sha").agg(
+        F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct("doc_id", "text")).alias("kept"))
+    return join_small(rows, copied, ["__sha"], "left_anti", COPIED).select(*docs.columns).unionByName(kept.select("kept.*"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import WORD, join_small, stored
+from keelson.llm.common import ROW, WORD, join_small, numbered, stored
 from keelson.operators.scale import number_rows
 
 BLOCK = 2000
@@ -33,7 +33,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
             F.sum(F.when(full, F.col("cap"))), F.count(F.when(full, 1)), F.sum(F.when(~full, F.col("weight")))).first()
         if n_full == before or not open_weight:
             break
-        before, level = (n_full if level else -1), (budget - (fixed or 0.0)) / open_weight
+        before, level = n_full, (budget - (fixed or 0.0)) / open_weight
     target = F.least(F.lit(level) * F.col("weight"), F.col("cap").cast("double"))
     return sources.select("source", "source_size", target.alias("target"))
 
@@ -106,15 +106,15 @@ def round_pivotal(units: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-        seed: int = 42) -> DataFrame:
-    """Per row: doc_id, size, source, source_size, target, copies, taken.
+        seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, size, source, source_size, target, copies, taken, and the columns to ``carry``.
 
     ``copies`` is the whole part of target / source_size, and one more for the rows that pivotal rounding picks. The size
     of a text is its number of words; NULL and empty texts have size 0 and are taken as often as their source's others,
     at no words. A NULL source is a source of its own. Repeated rows are rounded one by one. No rows give no rows.
     """
     sizes = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        *carry, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sizes = stored(sizes, "sizes")
     targets = source_targets(sizes, weights, share, most)
@@ -124,11 +124,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     units = joined.withColumn("base", F.floor(rate).cast("long")).withColumn("p", rate - F.floor(rate)).withColumn("draw", draw)
     rounded = round_pivotal(units)
     copies = F.col("base") + F.col("p").cast("long")
-    return rounded.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rounded.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry)
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` as often as the mix takes them; rows that repeat a doc_id take the most copies of them."""
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    rows = join_small(docs, stored(copies, "copies"), ["doc_id"], "inner")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Rows of ``docs`` as often as the mix takes them; rows that repeat, share a doc_id or have none each have their own number."""
+    rows = numbered(docs)
+    copies = mix(rows, carry=(ROW,), **options).filter("copies > 0").select(ROW, F.col("copies").cast("int").alias("_copies"))
+    taken = join_small(rows, stored(copies, "copies"), [ROW], "inner")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -1,8 +1,8 @@
 """Personal data in texts, and terms that give it away though they are not personal data themselves.
 
-How strongly a term reveals an entity is estimated over the corpus: the share of the term's documents that hold the
-entity, both looked for in whole documents. Terms above a first threshold are generalised, above a second one removed,
-wherever they stand.
+How strongly a term reveals an entity is estimated over the corpus: their pointwise mutual information, both looked for in
+whole documents, as a share of the information that the entity carries. Terms above a first threshold are generalised,
+above a second one removed, wherever they stand.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from keelson.llm.spans import KINDED, SPAN, matches, once, replaced
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 # The forms of personal data. A match begins where its first run of characters does, so the look-behind
-# loses none and spares the search from starting anew at every character of a long run.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+# loses none and spares the search from starting anew at every character of a long run. What repeats is possessive, as
+# nothing follows that it could give back to: the search then runs as a loop and long texts need no stack.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
-CARD = r"[0-9]([\x20-]?[0-9])+"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Words that may reveal.
 TERM = r"[\p{L}][\p{L}'-]{3,}"
@@ -85,43 +86,51 @@ def blanked(text: Column, found: Column) -> Column:
 def revealing(seen: DataFrame, generalise: float, remove: float, fewest: int) -> DataFrame:
     """``(term, number, kind)`` of the terms that reveal an entity, by the entity they reveal most.
 
-    A term counts if at least ``fewest`` different texts hold it and the entity, and they are so large a share of all
-    different texts that hold it. Copies of a text count once.
+    An entity found in few texts carries much information: the logarithm of all texts over those that hold it. What a
+    term says about it is their pointwise mutual information. A term reveals the entity as far as the second comes up to
+    the first: by all of it where only texts with the entity hold the term. Terms count if at least ``fewest`` different
+    texts hold them and the entity. Copies of a text count once; an entity in every text has nothing to reveal.
     """
     held = seen.select("same", F.explode(F.array_distinct(F.transform("_found", lambda e: key(e["kind"], e["text"])))).alias("entity")).distinct()
     # No term stands in more texts with an entity than the entity itself.
-    known = stored(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= fewest).select("entity"), "known")
-    named = held.join(known, "entity").groupBy("same").agg(F.collect_list("entity").alias("entities"))
+    known = stored(held.groupBy("entity").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") >= fewest), "known")
+    named = held.join(known.select("entity"), "entity").groupBy("same").agg(F.collect_list("entity").alias("entities"))
     # Texts of their own are counted within the tasks already; only the words of repeated texts go with their text's key.
-    repeated = seen.groupBy("same").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("same", F.col("same").alias("copied"))
-    marked = join_small(seen.select("same", "_terms"), stored(repeated, "repeated"), ["same"], "left")
+    times = stored(seen.groupBy("same").agg(F.count(F.lit(1)).alias("n")), "texts")
+    texts = times.count()
+    repeated = times.filter("n > 1").select("same", F.col("same").alias("copied"))
+    marked = join_small(seen.select("same", "_terms"), repeated, ["same"], "left")
     once_each = F.sum(F.when(F.col("copied").isNull(), F.col("n")).otherwise(1))
 
     def different(rows: DataFrame, *by: str) -> DataFrame:
         return rows.groupBy("copied", *by).agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(once_each.alias("n"))
 
     words = F.explode("_terms").alias("term")
-    pairs = join_small(marked, stored(named, "named"), ["same"], "inner").select("copied", "entities", words)
+    pairs = join_small(marked, stored(named, "named"), ["same"], "inner", FEW_TERMS, F.size("entities")).select("copied", "entities", words)
     both = different(pairs.select("copied", "term", F.explode("entities").alias("entity")), "entity", "term").filter(F.col("n") >= fewest)
-    both = stored(both.groupBy("term").agg(F.max("n").alias("both")), "both")
-    uses = different(join_small(marked.select("copied", words), both.select("term"), ["term"], "left_semi", FEW_TERMS), "term")
-    share = F.col("both") / F.col("n")
-    found = both.join(uses, "term").withColumn("share", share).filter(F.col("share") >= generalise)
-    return found.select("term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("number"),
-                        F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("kind"))
-
-
-def private_spans(docs: DataFrame, generalise: float = 0.5, remove: float = 0.9, fewest: int = 3, with_text: bool = False) -> DataFrame:
+    both = stored(both.select("entity", "term", F.col("n").alias("both")), "both")
+    terms = stored(both.select("term").distinct(), "terms")
+    uses = different(join_small(marked.select("copied", words), terms, ["term"], "left_semi", FEW_TERMS), "term")
+    information = F.log(F.lit(float(texts)) / F.col("held"))
+    mutual = F.log(F.col("both") * F.lit(float(texts)) / (F.col("n") * F.col("held")))
+    told = both.join(known, "entity").join(uses, "term").withColumn("told", F.when(information > 0, mutual / information).otherwise(0.0))
+    # Logarithms of whole numbers: a term held by texts with the entity alone tells all of it but for rounding.
+    found = told.groupBy("term").agg((F.max("told") + 1e-9).alias("told")).filter(F.col("told") >= generalise)
+    return found.select("term", F.when(F.col("told") >= remove, 5).otherwise(4).alias("number"),
+                        F.when(F.col("told") >= remove, "remove").otherwise("generalise").alias("kind"))
+
+
+def private_spans(docs: DataFrame, generalise: float = 0.85, remove: float = 0.98, fewest: int = 3, with_text: bool = False) -> DataFrame:
     """Per row: doc_id, base and spans, arrays of (number, start, end, kind) by kind, then start; and clean on demand.
 
-    ``base`` holds the known forms; ``spans`` adds the terms that reveal one, in all their places in all texts, whether
+    ``generalise`` and ``remove`` are shares of an entity's information. ``base`` holds the known forms; ``spans`` adds the terms that reveal one, in all their places in all texts, whether
     the text holds the entity or not; words inside of entities are no terms. ``clean`` is the text with each
     entity as its kind in brackets, terms that are generalised as [TERM] and others removed. NULL counts as empty; empty
     texts have no spans. Copies of a text get the same spans and count once in all shares. Rows without doc_id are
     scanned like others. Extra columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
-    texts = rows.withColumn("same", F.xxhash64("_t"))
+    texts = rows.withColumn("same", F.unhex(F.sha2("_t", 256)))
     keep = ["doc_id", "same", *(["_t"] if with_text else [])]
     words = F.array_distinct(F.regexp_extract_all(F.lower(blanked(F.col("_t"), F.col("_found"))), F.lit(TERM), F.lit(0)))
     seen = stored(texts.withColumn("_found", entities(F.col("_t"))).select(*keep, "_found", words.alias("_terms")), "private")
@@ -131,7 +140,7 @@ def private_spans(docs: DataFrame, generalise: float = 0.5, remove: float = 0.9,
     # Only texts that hold such a term are searched for its places.
     places = lambda t: F.transform(F.filter(matches(t, TERM), lambda m: F.map_contains_key("_hits", F.lower(m["text"]))), lambda m: once(
         F.element_at("_hits", F.lower(m["text"])), lambda h: F.struct(h["number"].alias("number"), m["start"].alias("start"), m["end"].alias("end"), h["kind"].alias("kind"))))
-    told = join_small(texts.select("same", "_t"), stored(hits, "hits"), ["same"], "inner")
+    told = join_small(texts.select("same", "_t"), stored(hits, "hits"), ["same"], "inner", FEW_TERMS, F.size("_hits"))
     extra = told.groupBy("same").agg(F.first(once(once(entities(F.col("_t")), lambda f: blanked(F.col("_t"), f)), places)).alias("extra"))
     base = F.transform("_found", lambda e: F.struct(*[e[c].alias(c) for c in ("number", "start", "end", "kind")])).alias("base")
     out = seen.join(extra, "same", "left").select(*keep, base, "extra")

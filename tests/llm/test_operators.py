@@ -260,3 +260,99 @@ def test_held_out_accuracy(spark):
     hit, wrong, toxic = rows.agg(F.sum((F.col("is_toxic") & (F.col("toxic") == 1)).cast("int")), F.sum((F.col("is_toxic") & (F.col("toxic") == 0)).cast("int")),
                                  F.sum("toxic")).first()
     assert hit >= 0.9 * toxic and wrong <= 0.05 * toxic
+
+
+def test_private_forms_in_very_long_texts(spark):
+    """Long runs of what a pattern repeats must neither exhaust the stack nor change the matches."""
+    texts = ["7" * 100_000, "a@b" + ".c" * 50_000, "1 " * 50_000, "+" + "1(" * 50_000 + "1", "1." * 50_000, "4111 1111 1111 1111 " + "x" * 100_000,
+             "a@" * 50_000, "1-" * 9 + "1"]
+    forms = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    found = {r["doc_id"]: r["base"] for r in pii.private_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        want = [("email", m.start(), m.end()) for m in re.finditer(forms["email"], text)] if i != 6 else []
+        want += [("phone", m.start(), m.end()) for m in re.finditer(forms["phone"], text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        assert [(s["kind"], s["start"], s["end"]) for s in found[i] if s["kind"] in forms] == want
+    assert [(s["kind"], s["start"], s["end"]) for s in found[4]] == [] or {s["kind"] for s in found[4]} == {"ip"}
+    assert [(s["kind"], s["start"], s["end"]) for s in found[5]] == [("card", 0, 19)]
+
+
+def test_terms_against_a_plain_count(spark):
+    """All revealing terms of a small corpus, by the information each one holds about an entity."""
+    rng = random.Random(8)
+    mails = [f"p{k}@ex.org" for k in range(4)]
+    rows = []
+    for i in range(120):
+        text = [rng.choice(["filler", "common", "words", "here"]) for _ in range(8)] + [f"rare{chr(97 + rng.randrange(20))}x"]
+        if i % 5 == 0:
+            k = i // 5 % 4
+            text += [mails[k], f"secretive{chr(97 + k)}"] + ([f"leaning{chr(97 + k)}"] if i % 2 else [])
+        if i % 17 == 0:
+            text.append("leaninga")
+        rows.append((i, " ".join([*text, f"{i}"])))
+    rows += rows[:10]
+    texts = {t for _, t in rows}
+    held = {m: {t for t in texts if m in t} for m in mails}
+    words = {t: set(re.findall("[a-z][a-z'-]{3,}", re.sub(r"\S+@\S+", " ", t))) for t in texts}
+    want = {}
+    for w in set().union(*words.values()):
+        own = {t for t in texts if w in words[t]}
+        for m in mails:
+            both = len(own & held[m])
+            if both >= 3:
+                told = np.log(both * len(texts) / len(own) / len(held[m])) / np.log(len(texts) / len(held[m]))
+                if told >= 0.85 - 1e-9:
+                    want[w] = max(want.get(w, 0), told)
+    got = collections.defaultdict(set)
+    for r in pii.private_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = dict(rows)[r["doc_id"]]
+        for s in r["spans"]:
+            if s["kind"] in ("generalise", "remove"):
+                got[text[s["start"]:s["end"]]].add(s["kind"])
+    assert {w: {"remove" if t >= 0.98 - 1e-9 else "generalise"} for w, t in want.items()} == dict(got) and len(want) >= 4
+
+
+def test_links_of_repeated_rows(spark):
+    base = words(200, 9)
+    near = [*base[:100], "else", *base[101:]]
+    rows = [(1, " ".join(base))] * 3 + [(2, " ".join(near))] + [(3, "one two three four")] * 2 + [(4, "something else in here")]
+    rows += [(5, " ".join(words(80, 10))), (5, " ".join(words(80, 11))), (6, " ".join(words(80, 11)))]
+    found = sorted(tuple(r) for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 9, 10).select(
+        "doc_id", "n_links", "component_id").collect())
+    assert found == [(1, 3, 1)] * 3 + [(2, 3, 1)] + [(3, 1, 3)] * 2 + [(4, 0, 4), (5, 0, 5), (5, 1, 5), (6, 1, 5)]
+
+
+CLASHING = [
+    (1, "alpha beta gamma", "a"), (1, "unique text of its own", "a"), (2, "ALPHA beta gamma", "b"), (None, "alpha beta GAMMA", "b"),
+    (None, "only here", "a"), (None, "only here", "a"), (7, "twice the same", "c"), (7, "twice the same", "c"), (8, None, "c"), (9, "", None),
+    (10, " ".join(words(200, 20)), "a"), (None, " ".join([*words(200, 20)[:100], "x", *words(200, 20)[101:]]), "a"), (10, " ".join(words(50, 21)), "b"),
+]
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Stages judge rows by their texts: none is lost for another row's sake."""
+    frame = spark.createDataFrame([(*r, "en", 1) for r in CLASHING], "doc_id long, text string, source string, lang string, n_chars long").repartition(3).cache()
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in exact_dedup.keep_one(frame).collect())
+    groups = collections.defaultdict(list)
+    for i, t, _ in CLASHING:
+        groups[(t or "").lower()].append((i is not None, i or 0, t or ""))
+    want = sorted((str(i) if some else "None", t) for g in groups.values() for some, i, t in [max(g)])
+    assert kept == want
+    first = sorted((str(r["doc_id"]), r["text"] or "") for r in ngram_join.keep_first(frame).collect())
+    assert ("10", " ".join(words(200, 20))) in first and ("10", " ".join(words(50, 21))) in first
+    assert ("1", "unique text of its own") in first and ("2", "ALPHA beta gamma") not in first and first.count(("None", "only here")) == 1
+    assert len(first) == len(CLASHING) - 5  # three copies of other rows' texts beside two of alpha, and a near copy
+    mixed = collections.Counter((r["doc_id"], r["text"]) for r in mixing.apply_mix(frame).collect())
+    counted = collections.Counter()
+    for r in mixing.mix(frame.withColumn("t", F.col("text")), carry=("t",)).collect():
+        counted[(r["doc_id"], r["t"])] += r["copies"]
+    assert sum(mixed.values()) == sum(counted.values()) and set(mixed) == {k for k, n in counted.items() if n}
+
+
+@pytest.mark.parametrize("rows", [CLASHING, [], [(None, None, None)]])
+def test_pipeline_on_awkward_tables(spark, tmp_path, rows):
+    import __spark_entry__ as contract
+
+    spark.createDataFrame([(*r, "en", 1) for r in rows], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = contract.queries()["pipeline"](spark, str(tmp_path)).collect()
+    assert (len(found) > 0) == (len(rows) > 1)
