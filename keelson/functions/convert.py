@@ -152,35 +152,98 @@ def to_double(c: Column, dtype: T.DataType, decimal_comma: bool = False) -> Colu
     return F.lit(None).cast("double")
 
 
-def _double_to_decimal(c: Column) -> Column:
+def _double_to_decimal(c: Column, kind: str = DECIMAL_TYPE) -> Column:
     """Fifteen significant digits, as the source number type keeps them."""
-    return F.when(F.abs(c) < 1e5, c.try_cast(DECIMAL_TYPE)).otherwise(
-        F.format_string("%.14e", c).try_cast(DECIMAL_TYPE))
+    return F.when(F.abs(c) < 1e5, c.try_cast(kind)).otherwise(
+        F.format_string("%.14e", c).try_cast(kind))
 
 
-def _text_to_decimal(c: Column) -> Column:
+def _text_to_decimal(c: Column, kind: str = DECIMAL_TYPE) -> Column:
     """Decimal of a text: 0 when it is no number the source type holds, NULL when only ours cannot hold it."""
     def odd(number: Column) -> Column:
         held_by_source = F.coalesce(F.abs(number.try_cast("double")) < DECIMAL_LIMIT, F.lit(False))
-        return F.coalesce(number.try_cast(DECIMAL_TYPE), F.when(~held_by_source, F.lit(0).cast(DECIMAL_TYPE)))
+        return F.coalesce(number.try_cast(kind), F.when(~held_by_source, F.lit(0).cast(kind)))
 
-    return F.when(c.rlike(_PLAIN), _bare(c).try_cast(DECIMAL_TYPE)).otherwise(let(numeric_text(c), odd))
+    return F.when(c.rlike(_PLAIN), _bare(c).try_cast(kind)).otherwise(let(numeric_text(c), odd))
 
 
-def to_decimal(c: Column, dtype: T.DataType, decimal_comma: bool = False) -> Column:
+def to_decimal(c: Column, dtype: T.DataType, decimal_comma: bool = False, kind: str = DECIMAL_TYPE) -> Column:
+    """Value as a decimal of the given type; digits beyond its scale are rounded, see ``decimal_places``."""
     if _is_text(dtype):
-        found = _text_to_decimal(c)
+        found = _text_to_decimal(c, kind)
         if decimal_comma:
             readable = c.rlike(_NUMBER)
-            found = F.when(readable, found).otherwise(_text_to_decimal(_comma_decimal(c)))
+            found = F.when(readable, found).otherwise(_text_to_decimal(_comma_decimal(c), kind))
         return F.when(c.isNotNull(), found)
     if _is(dtype, T.FloatType, T.DoubleType):
-        return _double_to_decimal(c.cast("double"))
+        return _double_to_decimal(c.cast("double"), kind)
     if _is(dtype, T.BooleanType):
-        return c.cast("int").cast(DECIMAL_TYPE)
+        return c.cast("int").cast(kind)
     if _is(dtype, T.NumericType):
-        return c.try_cast(DECIMAL_TYPE)
-    return F.lit(None).cast(DECIMAL_TYPE)
+        return c.try_cast(kind)
+    return F.lit(None).cast(kind)
+
+
+def _digit_counts(number: Column) -> Column:
+    """``struct(whole, places)`` of plain number text: digits before the point, and after it without closing zeros."""
+    whole, part = F.regexp_extract(number, r"^[+-]?(\d*)", 1), F.regexp_extract(number, r"\.(\d*)", 1)
+    power = F.coalesce(F.regexp_extract(number, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
+
+    def count(v: Column) -> Column:
+        digits = F.concat(v["whole"], v["part"])
+        leading = F.length(digits) - F.length(F.ltrim(digits, F.lit("0")))
+        closing = F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
+        zero = F.rtrim(digits, F.lit("0")) == ""
+        return F.struct(
+            F.when(zero, 0).otherwise(F.greatest(F.length(v["whole"]) + v["power"] - leading, F.lit(0))).alias("whole"),
+            F.when(zero, 0).otherwise(F.greatest(F.length(v["part"]) - v["power"] - closing, F.lit(0))).alias("places"))
+
+    return let(F.struct(whole.alias("whole"), part.alias("part"), power.alias("power")), count)
+
+
+def digit_counts(c: Column, dtype: T.DataType, decimal_comma: bool = False) -> Column:
+    """``struct(whole, places)`` of a value that becomes a decimal; NULL where it is no number.
+
+    Floating numbers count with the digits that the source number type keeps: fifteen, of single ones the shortest.
+    """
+    if _is_text(dtype):
+        number = numeric_text(c)
+        if decimal_comma:
+            number = F.coalesce(number, numeric_text(_comma_decimal(c)))
+    elif _is(dtype, T.DoubleType):
+        number = F.format_string("%.14e", c)
+    elif _is(dtype, T.NumericType):
+        number = c.cast("string")
+    else:
+        return F.lit(None).cast("struct<whole:int,places:int>")
+    return F.when(number.isNotNull(), let(number, _digit_counts))
+
+
+def decimal_lost(c: Column, dtype: T.DataType, scale: int, decimal_comma: bool = False) -> Column | None:
+    """True where a decimal of ``scale`` places would change the value; None where no value of the type can change."""
+    if _is(dtype, T.DecimalType) and dtype.scale <= scale or not (_is_text(dtype) or _is(dtype, T.DecimalType, T.FloatType, T.DoubleType)):
+        return None
+    lost = F.coalesce(digit_counts(c, dtype, decimal_comma)["places"] > scale, F.lit(False))
+    return F.when(c.rlike(_PLAIN), F.lit(False)).otherwise(lost) if _is_text(dtype) and scale >= 9 else lost
+
+
+def decimal_types(df: DataFrame, columns: list[str], decimal_comma: bool = False) -> dict[str, T.DecimalType]:
+    """The smallest decimal type that keeps every value of each column, from one pass over all rows.
+
+    A column that needs more than 38 digits keeps those before the point; its longer values are for the caller to reject.
+    """
+    if not columns:
+        return {}
+    counts = [digit_counts(F.col(f"`{name}`"), df.schema[name].dataType, decimal_comma) for name in columns]
+    widths = df.select(*[c.alias(f"_{i}") for i, c in enumerate(counts)]).agg(*[
+        F.coalesce(F.max(F.col(f"_{i}.{part}")), F.lit(0)).alias(f"{part}{i}") for i in range(len(columns)) for part in ("whole", "places")]).first()
+
+    def fitting(whole: int, places: int) -> T.DecimalType:
+        whole = min(whole, 38)
+        places = min(places, 38 - whole)
+        return T.DecimalType(max(whole + places, 1), places)
+
+    return {name: fitting(widths[f"whole{i}"], widths[f"places{i}"]) for i, name in enumerate(columns)}
 
 
 def _double_to_text(c: Column) -> Column:
@@ -327,12 +390,14 @@ _CONVERTERS = {
 }
 
 
-def to_canonical(c: Column | str, source_type: T.DataType, canonical: str, decimal_comma: bool = False) -> Column:
-    """Value of a column as its canonical type; ``Unknown`` passes through."""
+def to_canonical(c: Column | str, source_type: T.DataType, canonical: str, decimal_comma: bool = False,
+                 decimal: str = DECIMAL_TYPE) -> Column:
+    """Value of a column as its canonical type; ``Unknown`` passes through, decimals are of the type given."""
     c = as_col(c)
-    if canonical in (ty.DOUBLE, ty.DECIMAL):
-        build = to_double if canonical == ty.DOUBLE else to_decimal
-        return build(c, source_type, decimal_comma)
+    if canonical == ty.DECIMAL:
+        return to_decimal(c, source_type, decimal_comma, decimal)
+    if canonical == ty.DOUBLE:
+        return to_double(c, source_type, decimal_comma)
     build = _CONVERTERS.get(canonical)
     return build(c, source_type) if build else c
 
@@ -370,9 +435,9 @@ def was_defaulted(c: Column | str, source_type: T.DataType, canonical: str) -> C
 
 
 def canonical_value(c: Column | str, source_type: T.DataType, canonical: str, target: str = ty.UNKNOWN,
-                    decimal_comma: bool = False) -> Column:
+                    decimal_comma: bool = False, decimal: str = DECIMAL_TYPE) -> Column:
     """Canonical value; a Boolean target turns any other value into a boolean as well."""
-    value = to_canonical(c, source_type, canonical, decimal_comma)
+    value = to_canonical(c, source_type, canonical, decimal_comma, decimal)
     held = ty.spark_type(canonical) or source_type
     if target == ty.BOOLEAN and not isinstance(held, T.BooleanType):
         return to_boolean(value, held)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,10 @@ def swap_folder(spark: SparkSession, staged: str, target: str) -> None:
         fs.delete(_path(spark, old), True)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    _file_system(spark, path).delete(_path(spark, path), True)
+
+
 def conformed(df: DataFrame, columns: T.StructType) -> DataFrame:
     """``df`` with exactly these columns, matched without case; those it lacks are NULL."""
     given = {c.lower(): c for c in df.columns}
@@ -49,6 +54,10 @@ def conformed(df: DataFrame, columns: T.StructType) -> DataFrame:
         for f in columns])
 
 
+#: A row's place in its source: struct of file, block and row.
+POSITION = "_position"
+
+
 @dataclass(frozen=True)
 class FileStore:
     """Tables as folders (or files ending in the format's name) below one path."""
@@ -72,6 +81,15 @@ class FileStore:
         df = spark.read.format(self.format).load(self.location(spark, table))
         return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
 
+    def placed(self, spark: SparkSession, table: str, columns: list[str]) -> DataFrame:
+        """The columns, and ``_position``: the file and the row's place in it, the same however the file is split."""
+        df = spark.read.format(self.format).load(self.location(spark, table))
+        index = "row_index" if self.format == "parquet" else None
+        place = F.col("_metadata.row_index") if index else F.monotonically_increasing_id()
+        block = F.lit(0).cast("long") if index else F.col("_metadata.file_block_start")
+        return df.select(*[F.col(f"`{c}`") for c in columns], F.struct(
+            F.col("_metadata.file_path").alias("file"), block.alias("block"), place.alias("row")).alias(POSITION))
+
     def schema(self, spark: SparkSession, table: str) -> T.StructType:
         return self.read(spark, table).schema
 
@@ -83,16 +101,17 @@ class FileStore:
             return f"{self.path.rstrip('/')}/{table}", None
         return place, self.schema(spark, table)
 
-    def replace(self, df: DataFrame, table: str) -> None:
-        """Full refresh in the table's place; columns that ``df`` lacks stay and become NULL.
-
-        The rows are written aside, then swapped in, so a failed job leaves the old ones.
-        """
+    def stage(self, df: DataFrame, table: str) -> Callable[[], None]:
+        """Writes a full refresh aside; calling the result swaps it in. Columns that ``df`` lacks stay and become NULL."""
         spark = df.sparkSession
         target, columns = self._place(spark, table)
         staged = f"{self.path.rstrip('/')}/_staged-{table}-{uuid.uuid4().hex}"
         (conformed(df, columns) if columns else df).write.format(self.format).mode("errorifexists").save(staged)
-        swap_folder(spark, staged, target)
+        return lambda: swap_folder(spark, staged, target)
+
+    def replace(self, df: DataFrame, table: str) -> None:
+        """Full refresh in the table's place; the rows are written aside first, so a failed job leaves the old ones."""
+        self.stage(df, table)()
 
     def append(self, df: DataFrame, table: str) -> None:
         """Adds rows; columns that ``df`` lacks are NULL in them."""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.sources.stores import FileStore
+from keelson.sources.stores import POSITION, FileStore
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,18 @@ class Recipe:
         rows = rows.selectExpr(*[f"{text} AS {name}" for name, text in self.columns.items()])
         return rows.distinct() if self.distinct else rows
 
+    def placed(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The same rows with their place in the file."""
+        store = FileStore(sf_dir)
+        rows = store.placed(spark, self.source, store.schema(spark, self.source).names)
+        return rows.selectExpr(*[f"{text} AS {name}" for name, text in self.columns.items()], POSITION)
+
+    @property
+    def placed_sql(self) -> str:
+        """The same with ``_row``: the rows in the order of the file."""
+        names = ", ".join(f"{text} AS {name}" for name, text in self.columns.items())
+        return f"SELECT {names}, _row FROM (SELECT *, row_number() OVER () AS _row FROM {self.source})"
+
     @property
     def sql(self) -> str:
         names = ", ".join(f"{text} AS {name}" for name, text in self.columns.items())

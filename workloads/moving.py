@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keelson.functions import types as ty
+from keelson.functions.convert import decimal_types
 from keelson.operators import filters
 from keelson.operators.scale import new_folder
 from keelson.plans import transfer as job
@@ -46,11 +47,11 @@ ORDER_TARGET = [Target("o_orderkey", ty.INT64, True), Target("o_custkey", ty.INT
 
 
 def split_lines(spark, sf):
-    return job.split_rows(DIRTY.df(spark, sf), LINE_TARGET, Rules(DIRTY_TYPES))
+    return job.split_rows(DIRTY.placed(spark, sf), LINE_TARGET, Rules(DIRTY_TYPES))
 
 
 def split_orders(spark, sf):
-    return job.split_rows(DIRTY_ORDERS.df(spark, sf), ORDER_TARGET)
+    return job.split_rows(DIRTY_ORDERS.placed(spark, sf), ORDER_TARGET)
 
 
 def _printable(df):
@@ -58,11 +59,11 @@ def _printable(df):
 
 
 LINES = f"""
-    raw AS ({DIRTY.sql}),
+    raw AS ({DIRTY.placed_sql}),
     conv AS (SELECT CAST(trim(L_ORDERKEY) AS BIGINT) AS l_orderkey, L_PARTKEY AS big, TRY_CAST(L_PARTKEY AS INTEGER) AS l_partkey,
         TRY_CAST(replace(L_Quantity, ',', '') AS INTEGER) AS l_quantity,
         L_PRICE AS price, TRY_CAST(CASE WHEN L_PRICE < 1e15 THEN round(L_PRICE, 2) END AS DECIMAL(38,10)) AS l_price, L_FLAG AS l_flag,
-        CAST(strptime(L_SHIPDATE, '%d.%m.%Y') AS DATE) AS l_shipdate, L_OPEN <> 0 AS l_open, L_NOTE AS l_note FROM raw),
+        CAST(strptime(L_SHIPDATE, '%d.%m.%Y') AS DATE) AS l_shipdate, L_OPEN <> 0 AS l_open, L_NOTE AS l_note, _row FROM raw),
     judged AS (SELECT *, list_filter([
             CASE WHEN big IS NOT NULL AND l_partkey IS NULL THEN 'type:l_partkey' END,
             CASE WHEN price IS NOT NULL AND l_price IS NULL THEN 'overflow:l_price' END,
@@ -85,13 +86,13 @@ QUERIES["transfer_rejects"] = Query(
     FROM marked WHERE status = 'rejected'""")
 REPORT = f"""
     orders_marked AS (SELECT CASE WHEN length(o_orderpriority) > 10 THEN 'rejected' WHEN o_custkey IS NULL THEN 'repaired'
-                             ELSE 'clean' END AS status, 'length:o_orderpriority' AS reason FROM ({DIRTY_ORDERS.sql})),
-    both_tables AS (SELECT 'lineitem' AS table_name, status, reasons[1] AS reason FROM marked
-                    UNION ALL SELECT 'orders', status, reason FROM orders_marked),
+                             ELSE 'clean' END AS status, 'length:o_orderpriority' AS reason, _row FROM ({DIRTY_ORDERS.placed_sql})),
+    both_tables AS (SELECT 'lineitem' AS table_name, status, reasons[1] AS reason, _row FROM marked
+                    UNION ALL SELECT 'orders', status, reason, _row FROM orders_marked),
     counted AS (SELECT table_name, 'ok' AS status, count(*) AS rows_read, count(*) FILTER (WHERE status = 'clean') AS rows_clean,
                        count(*) FILTER (WHERE status = 'repaired') AS rows_repaired,
                        count(*) FILTER (WHERE status = 'rejected') AS rows_rejected,
-                       min(reason) FILTER (WHERE status = 'rejected') AS first_error FROM both_tables GROUP BY table_name),
+                       arg_min(reason, _row) FILTER (WHERE status = 'rejected') AS first_error FROM both_tables GROUP BY table_name),
     report AS (SELECT * EXCLUDE (first_error), CASE WHEN rows_rejected > 0
                       THEN rows_rejected || ' row(s) rejected: ' || first_error END AS error FROM counted)"""
 
@@ -150,6 +151,98 @@ QUERIES["transfer_copy"] = Query(_copied, """
            c_mktsegment AS "C_MKTSEGMENT", CASE WHEN length(c_mktsegment) > 9 THEN 'length:C_MKTSEGMENT' END AS first_reason
     FROM customer""")
 
+# ---- keys, required columns, decimals, repeated runs ----
+
+LINE_KEYS = [Target("l_orderkey", ty.INT64, True), Target("l_linenumber", ty.INT32), Target("l_partkey", ty.INT64)]
+
+
+def _duplicate_keys(spark, sf):
+    target, rejects = FileStore(new_folder(spark, "target")), FileStore(new_folder(spark, "rejects"))
+    rules = {"lineitem": Rules(targets=LINE_KEYS, keys=("l_orderkey",))}
+    report = job.transfer(spark, FileStore(sf), target, ["lineitem"], rules, rejects).first()
+    good = target.read(spark, "lineitem").withColumn("first_reason", F.lit(None).cast("string"))
+    return good.unionByName(rejects.read(spark, "lineitem").drop("reasons")).withColumn("error", F.lit(report["error"]))
+
+
+QUERIES["transfer_duplicate_keys"] = Query(_duplicate_keys, """
+    WITH l AS (SELECT *, row_number() OVER () AS _row FROM lineitem),
+    k AS (SELECT *, _row > min(_row) OVER (PARTITION BY l_orderkey) AS late FROM l)
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN late THEN 'duplicate:l_orderkey' END AS first_reason,
+           (SELECT count(*) FROM k WHERE late) || ' row(s) rejected: duplicate:l_orderkey' AS error FROM k""")
+
+REQUIRED = [Target("o_orderkey", ty.INT64, True), Target("o_totalprice", ty.DOUBLE), Target("o_region", ty.TEXT, True)]
+
+
+def _missing_required(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    filled = [*REQUIRED[:2], Target("o_region", ty.TEXT, True, filled=True)]
+    found = None
+    for name, targets in (("left out", REQUIRED), ("filled", filled)):
+        rows = job.split_rows(orders, targets).select(
+            F.lit(name).alias("target"), "o_orderkey", "o_totalprice", F.col("_status").alias("status"), F.col("_reasons")[0].alias("first_reason"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+QUERIES["transfer_missing_required"] = Query(_missing_required, """
+    SELECT 'left out' AS target, o_orderkey, o_totalprice, 'rejected' AS status, 'missing:o_region' AS first_reason FROM orders
+    UNION ALL SELECT 'filled', o_orderkey, o_totalprice, 'clean', NULL FROM orders""")
+
+
+def _states(spark, sf, steps):
+    """Rows of target and rejects after each run of the job on orders."""
+    target, rejects = FileStore(new_folder(spark, "target")), FileStore(new_folder(spark, "rejects"))
+    found = None
+    for number, (rules, append) in enumerate(steps, 1):
+        report = job.transfer(spark, FileStore(sf), target, ["orders"], {"orders": rules}, rejects, append=append)
+        sizes = [store.read(spark, "orders").count() for store in (target, rejects)]
+        state = report.select(F.lit(number).alias("run"), "status", "rows_read", "rows_rejected", "error",
+                              F.lit(sizes[0]).cast("long").alias("in_target"), F.lit(sizes[1]).cast("long").alias("in_rejects"))
+        found = state if found is None else found.unionByName(state)
+    return found
+
+
+PRIORITY = [Target("o_orderkey", ty.INT64, True), Target("o_orderpriority", ty.TEXT, True, 10)]
+QUERIES["transfer_rerun_rejects"] = Query(
+    lambda spark, sf: _states(spark, sf, [(Rules(targets=PRIORITY), False), (Rules(targets=ORDER_TARGET[:2]), False)]), """
+    WITH o AS (SELECT count(*) AS n, count(*) FILTER (WHERE length(o_orderpriority) > 10) AS bad FROM orders)
+    SELECT 1 AS run, 'ok' AS status, n AS rows_read, bad AS rows_rejected,
+           CASE WHEN bad > 0 THEN bad || ' row(s) rejected: length:o_orderpriority' END AS error, n - bad AS in_target, bad AS in_rejects FROM o
+    UNION ALL SELECT 2, 'ok', n, 0, NULL, n, 0 FROM o""")
+QUERIES["transfer_append"] = Query(
+    lambda spark, sf: _states(spark, sf, [
+        (Rules(targets=PRIORITY), False), (Rules(targets=ORDER_TARGET[:1], keys=("o_orderkey",)), True), (Rules(targets=ORDER_TARGET[:1]), True)]), """
+    WITH o AS (SELECT count(*) AS n, count(*) FILTER (WHERE length(o_orderpriority) > 10) AS bad FROM orders)
+    SELECT 1 AS run, 'ok' AS status, n AS rows_read, bad AS rows_rejected,
+           CASE WHEN bad > 0 THEN bad || ' row(s) rejected: length:o_orderpriority' END AS error, n - bad AS in_target, bad AS in_rejects FROM o
+    UNION ALL SELECT 2, 'ok', n, n - bad, CASE WHEN n > bad THEN (n - bad) || ' row(s) rejected: duplicate:o_orderkey' END, n, n - bad FROM o
+    UNION ALL SELECT 3, 'ok', n, 0, NULL, 2 * n, 0 FROM o""")
+
+#: Amounts as text with eighteen places, every seventh with twenty-five.
+AMOUNTS = Recipe("orders", {
+    "o_orderkey": "o_orderkey",
+    "amount": "CAST(o_orderkey AS STRING) || CASE WHEN o_orderkey % 7 = 0 THEN '.0000000000000000000000123' ELSE '.000000000000000123' END"})
+
+
+def _decimal_scale(spark, sf):
+    rows = AMOUNTS.df(spark, sf)
+    fitted = decimal_types(rows, ["amount"])["amount"]
+    found = None
+    for name, size in (("declared", (38, 18)), ("fitted", (fitted.precision, fitted.scale))):
+        targets = [Target("o_orderkey", ty.INT64), Target("amount", ty.DECIMAL, decimal=size)]
+        split = job.split_rows(rows, targets, Rules({"amount": ty.DECIMAL}))
+        part = split.select(F.lit(name).alias("target"), "o_orderkey", F.col("_reasons")[0].alias("first_reason"),
+                            F.when(F.col("_status") != job.REJECTED, F.col("amount").cast("string")).alias("amount"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+QUERIES["transfer_decimal_scale"] = Query(_decimal_scale, """
+    SELECT 'declared' AS target, o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'scale:amount' END AS first_reason,
+           CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey || '.000000000000000123' END AS amount FROM orders
+    UNION ALL SELECT 'fitted', o_orderkey, NULL, o_orderkey || CASE WHEN o_orderkey % 7 = 0 THEN '.0000000000000000000000123'
+           ELSE '.0000000000000001230000000' END FROM orders""")
+
 # ---- rows under a declared schema ----
 
 DECLARED_ORDERS = [("O_ORDERKEY", "bigint"), ("o_totalprice", "double"), ("o_comment", "varchar(20)"), ("o_paid", "boolean"), ("o_due", "date")]
