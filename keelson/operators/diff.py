@@ -7,6 +7,8 @@ Inputs (one row per ...):
 * ``live(db, table_name, position, column_name, sql_type, not_null, primary_key, max_length)``
 * ``declared_fks(program_id, parent_table, child_table, field, name, cascade)``
 * ``live_fks(db, constraint_name, child_table, child_column, parent_table, parent_column)``
+* ``tables(program_id, table_name)`` and ``live_tables(db, table_name)`` - tables on their own, so that one
+  without (visible) columns is known too
 
 Names match without case. No step pairs every database with every declared name:
 counts of matches come first, and only databases (or tables) whose count falls
@@ -62,6 +64,8 @@ class FleetDiff:
     live: DataFrame
     declared_fks: DataFrame | None = None
     live_fks: DataFrame | None = None
+    tables: DataFrame | None = None
+    live_tables: DataFrame | None = None
 
     # ---- keyed inputs ----
 
@@ -79,8 +83,14 @@ class FleetDiff:
 
     @cached_property
     def _declared_tables(self) -> DataFrame:
-        return self._declared_columns.groupBy("program_id", "_t").agg(
+        """Declared tables with the number of their columns, those without any included."""
+        held = self._declared_columns.groupBy("program_id", "_t").agg(
             F.min("_d.table_name").alias("table_name"), F.count(F.lit(1)).alias("n_columns"))
+        if self.tables is None:
+            return held
+        named = self.tables.select("program_id", key("table_name").alias("_t"), "table_name", F.lit(0).cast("bigint").alias("n_columns"))
+        return held.unionByName(named).groupBy("program_id", "_t").agg(
+            F.min("table_name").alias("table_name"), F.max("n_columns").alias("n_columns"))
 
     @cached_property
     def _columns(self) -> DataFrame:
@@ -96,11 +106,15 @@ class FleetDiff:
         found = F.count_distinct(F.when(F.col("_d").isNotNull(), F.col("_c")))
         live = self._columns.groupBy("db", "program_id", "_t").agg(
             F.min("table_name").alias("live_table"), found.alias("_found"))
+        if self.live_tables is not None:
+            named = self.live_tables.select("db", key("table_name").alias("_t"), F.col("table_name").alias("live_table")).join(self._programs, "db")
+            live = live.unionByName(named.withColumn("_found", F.lit(0).cast("bigint"))).groupBy("db", "program_id", "_t").agg(
+                F.min("live_table").alias("live_table"), F.max("_found").alias("_found"))
         return salted_join(live, self._declared_tables, ["program_id", "_t"], "left", F.col("db"))
 
     def settled(self) -> FleetDiff:
         """The same diff with the matched catalog written out once, for all that follows from it."""
-        copy = FleetDiff(self.databases, self.declared, self.live, self.declared_fks, self.live_fks)
+        copy = FleetDiff(self.databases, self.declared, self.live, self.declared_fks, self.live_fks, self.tables, self.live_tables)
         copy.__dict__["_declared_columns"] = cut_lineage(self._declared_columns)
         copy.__dict__["_columns"] = cut_lineage(copy._columns)
         copy.__dict__["_tables"] = cut_lineage(copy._tables)

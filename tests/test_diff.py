@@ -107,3 +107,25 @@ def test_load_order_with_diamond_and_cycle(spark):
     tables = spark.createDataFrame([("db", "alone")], "db string, table_name string")
     levels = {r.table_name: r.level for r in load_order(tables, fks, ["db"]).collect()}
     assert levels == {"alone": 0, "a": 0, "b": 1, "c": 1, "d": 2, "e": 3, "x": None, "y": None, "z": None}
+
+
+def test_tables_without_columns_are_known_on_both_sides(spark):
+    from keelson.operators.diff import FleetDiff
+
+    databases = spark.createDataFrame([("a", 1, "MySQL"), ("b", 1, "MySQL")], "db string, program_id int, backend string")
+    declared = spark.createDataFrame([(1, "T", 1, "c", "INT", False, False, 0)],
+                                     "program_id int, table_name string, column_id int, column_name string, type string, not_null boolean, is_key boolean, field_size int")
+    live = spark.createDataFrame([("a", "t", 1, "c", "INT", False, False, 0)],
+                                 "db string, table_name string, position int, column_name string, sql_type string, not_null boolean, primary_key boolean, max_length int")
+    tables = spark.createDataFrame([(1, "Hidden"), (1, "T")], "program_id int, table_name string")
+    live_tables = spark.createDataFrame([("a", "HIDDEN"), ("b", "stray"), ("a", "t")], "db string, table_name string")
+    found = FleetDiff(databases, declared, live, tables=tables, live_tables=live_tables)
+    assert sorted((r.db, r.table_name, r.n_columns) for r in found.missing_tables.collect()) == [("b", "Hidden", 0), ("b", "T", 1)]
+    assert [(r.db, r.table_name) for r in found.surplus_tables.collect()] == [("b", "stray")]
+
+
+def test_an_empty_table_starts_its_numbers_at_one(spark):
+    from keelson.operators import checks
+
+    empty = spark.createDataFrame([], "k bigint")
+    assert [tuple(r) for r in checks.reseed_values({"t": (empty, ["k"])}).collect()] == [("t", "k", 1)]

@@ -11,7 +11,7 @@ from workloads.base import Query, Recipe, div, table
 
 QUERIES: dict[str, Query] = {}
 
-PARENTS = Recipe("customer", {"c_custkey": "c_custkey", "c_name": "c_name"}, where="c_custkey % 97 <> 0")
+PARENTS = Recipe("customer", {"c_custkey": "CASE WHEN c_custkey % 97 = 0 THEN -c_custkey ELSE c_custkey END", "c_name": "c_name"})
 CHILDREN = Recipe("orders", {
     "o_orderkey": "o_orderkey", "o_custkey": "CASE WHEN o_orderkey % 10 < 3 THEN 97 WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey END",
     "o_orderpriority": "o_orderpriority"})
@@ -39,13 +39,13 @@ COUNTED = ["region", "nation", "customer", "supplier", "part", "orders", "lineit
 
 def _sides(spark, sf):
     source = {name: table(spark, sf, name) for name in COUNTED}
-    target = {**{name: source[name] for name in COUNTED[:6]}, "customer": PARENTS.df(spark, sf), "labels": table(spark, sf, "labels")}
+    target = {**{name: source[name] for name in COUNTED[:6]}, "customer": table(spark, sf, "supplier"), "labels": table(spark, sf, "labels")}
     return source, target
 
 
 SIDES = ("s(table_name, source_rows) AS (" + " UNION ALL ".join(f"SELECT '{n}', count(*) FROM {n}" for n in COUNTED) + "), "
          "t(table_name, target_rows) AS (" + " UNION ALL ".join(
-             f"SELECT '{n}', count(*) FROM {'customer WHERE c_custkey % 97 <> 0' if n == 'customer' else n}"
+             f"SELECT '{n}', count(*) FROM {'supplier' if n == 'customer' else n}"
              for n in [*COUNTED[:6], "labels"]) + ")")
 QUERIES["rowcount_reconcile"] = Query(
     lambda spark, sf: checks.reconcile_counts(*_sides(spark, sf)),
@@ -57,14 +57,14 @@ def _reseed(spark, sf):
     return checks.reseed_values({
         "orders": (table(spark, sf, "orders"), ["o_orderkey", "o_custkey"]),
         "lineitem": (table(spark, sf, "lineitem"), ["l_linenumber"]),
-        "customer": (table(spark, sf, "customer").filter("c_custkey < 0"), ["c_custkey"])})
+        "customer": (PARENTS.df(spark, sf), ["c_custkey"])})
 
 
 QUERIES["reseed_values"] = Query(_reseed, """
     SELECT 'orders' AS table_name, 'o_orderkey' AS column_name, max(o_orderkey) + 1 AS next_value FROM orders
     UNION ALL SELECT 'orders', 'o_custkey', max(o_custkey) + 1 FROM orders
     UNION ALL SELECT 'lineitem', 'l_linenumber', CAST(max(l_linenumber) AS BIGINT) + 1 FROM lineitem
-    UNION ALL SELECT 'customer', 'c_custkey', 1""")
+    UNION ALL SELECT 'customer', 'c_custkey', max(c_custkey) + 1 FROM ({})""".format(PARENTS.sql))
 
 RULES = {
     "orders": TableChecks(keys=["o_orderkey"], not_null=["o_custkey"], max_length={"o_orderpriority": 8},
@@ -102,8 +102,8 @@ NAME = "'t' || CAST({} AS STRING)"
 KEYS = [
     Recipe("part", {"db": "'halves'", "child_table": NAME.format("p_partkey"), "parent_table": NAME.format(div("p_partkey", 2))}),
     Recipe("part", {"db": "'fifths'", "child_table": NAME.format("p_partkey"), "parent_table": NAME.format(div("p_partkey", 5))}),
-    Recipe("part", {"db": "'fifths'", "child_table": NAME.format("p_partkey"), "parent_table": NAME.format("p_partkey + 1")}, where="p_partkey % 300 = 77"),
-    Recipe("part", {"db": "'fifths'", "child_table": NAME.format("p_partkey"), "parent_table": NAME.format("p_partkey - 1")}, where="p_partkey % 300 = 78"),
+    Recipe("part", {"db": "'fifths'", "child_table": NAME.format("p_partkey"), "parent_table": NAME.format("CASE WHEN p_partkey % 300 = 77 THEN p_partkey + 1 ELSE p_partkey END")}),
+    Recipe("part", {"db": "'fifths'", "child_table": NAME.format("p_partkey"), "parent_table": NAME.format("CASE WHEN p_partkey % 300 = 78 THEN p_partkey - 1 ELSE p_partkey END")}),
 ]
 
 

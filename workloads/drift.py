@@ -1,7 +1,7 @@
 """Schema drift of a fleet: live catalogs derived from part, against the schema of their program.
 
-Every brand is split into databases of a bounded number of parts, so that the number
-of databases grows with the data; five programs share the brands.
+Every brand is a program, split into databases of a bounded number of parts, so that the number
+of databases grows with the data. Drift comes from names that differ; all rows count.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ QUERIES: dict[str, Query] = {}
 
 BRAND = "CAST(substring(p_brand, 7) AS BIGINT)"
 DB = f"lower(p_brand) || '_' || CAST({div('p_partkey', 2000)} AS STRING)"
-PROGRAM = f"{BRAND} % 5 + 1"
+PROGRAM = BRAND
 BACKENDS = ["SQLite", "MySQL", "PostgreSQL", "Oracle", "DBase", "SqlServer"]
 BACKEND = case_of(f"{BRAND} % 6", [text(b) for b in BACKENDS])
 TABLE = "p_type || '_' || CAST(p_size % 4 AS STRING)"
@@ -32,7 +32,7 @@ DECLARED = Recipe("part", {
     "column_name": f"CASE WHEN p_partkey % 3 = 0 THEN upper({COLUMN}) ELSE {COLUMN} END",
     "type": case_of("p_partkey % 6", ["'AutoNumber'", "'adLong'", "'adWChar'", "'adDate'", "'INT IDENTITY(1,1)'", "'adBoolean'"]),
     "not_null": "p_size % 2 = 0", "is_key": "p_partkey % 7 = 0", "field_size": "CAST(p_size * 10 AS INT)",
-}, where="p_size <= 40")
+})
 LIVE = Recipe("part", {
     "db": DB,
     "table_name": f"CASE WHEN p_size > 46 THEN 'old_' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN upper({TABLE}) ELSE lower({TABLE}) END",
@@ -49,13 +49,14 @@ DECLARED_FKS = Recipe("part", {
     "field": f"CASE WHEN p_partkey % 13 = 0 THEN 'no_' ELSE '' END || {COLUMN}",
     "name": case_of("p_partkey % 3", ["''", f"'fk_' || {COLUMN}", None]),
     "cascade": "p_partkey % 2 = 0",
-}, where="p_size <= 10")
+})
 LIVE_FKS = Recipe("part", {
     "db": DB, "constraint_name": "'c' || CAST(p_partkey AS STRING)",
     "child_table": f"upper({TABLE})", "child_column": f"upper({COLUMN})",
-    "parent_table": case_of("p_partkey % 8", [*[f"'{t}_' || CAST(p_size % 4 AS STRING)" for t in TYPES_OF_PART], "'nowhere'", "''"]),
+    "parent_table": "CASE WHEN p_size > 20 THEN 'moved_' ELSE '' END || "
+                    + case_of("p_partkey % 8", [*[f"'{t}_' || CAST(p_size % 4 AS STRING)" for t in TYPES_OF_PART], "'nowhere'", "''"]),
     "parent_column": "'id'",
-}, where="p_size <= 20")
+})
 
 
 def fleet(spark, sf) -> FleetDiff:
@@ -182,6 +183,32 @@ QUERIES["apply_order"] = Query(
     FROM actions WHERE action <> 'identity_mismatch'"""))
 
 
+# ---- tables without columns, declared and live ----
+
+EMPTY_DECLARED = Recipe("part", {
+    "program_id": PROGRAM, "table_name": f"CASE WHEN p_size > 48 THEN 'OLD_' || {TABLE} WHEN p_size < 5 THEN 'bare_' || p_type ELSE {TABLE} END"}, distinct=True)
+EMPTY_LIVE = Recipe("part", {
+    "db": DB, "table_name": f"CASE WHEN p_size = 3 THEN 'Bare_' || p_type WHEN p_size = 7 THEN 'stray_' || p_type ELSE lower({TABLE}) END"}, distinct=True)
+
+
+def _empty_tables(spark, sf):
+    found = FleetDiff(DATABASES.df(spark, sf), DECLARED.df(spark, sf), LIVE.df(spark, sf), tables=EMPTY_DECLARED.df(spark, sf),
+                      live_tables=EMPTY_LIVE.df(spark, sf)).settled()
+    missing = found.missing_tables.select(F.lit("missing").alias("kind"), "db", "program_id", "_t", "n_columns")
+    return missing.unionByName(found.surplus_tables.select(F.lit("surplus").alias("kind"), "db", "program_id", "_t", F.lit(0).cast("long").alias("n_columns"))
+                               ).withColumnRenamed("_t", "table_name")
+
+
+QUERIES["fleet_empty_tables"] = Query(_empty_tables, f"""
+    WITH db AS ({DATABASES.sql}),
+    d AS (SELECT program_id, lower(table_name) AS t, count(DISTINCT lower(column_name)) AS n FROM ({DECLARED.sql}) GROUP BY ALL),
+    dt AS (SELECT program_id, t, max(n) AS n_columns FROM (SELECT * FROM d UNION ALL SELECT program_id, lower(table_name), 0 FROM ({EMPTY_DECLARED.sql})) GROUP BY ALL),
+    lt AS (SELECT DISTINCT db, program_id, t FROM (SELECT db, lower(table_name) AS t FROM ({LIVE.sql}) UNION ALL SELECT db, lower(table_name) FROM ({EMPTY_LIVE.sql}))
+           JOIN db USING (db))
+    SELECT 'missing' AS kind, db.db, program_id, t AS table_name, n_columns FROM db JOIN dt USING (program_id)
+    WHERE NOT EXISTS (SELECT 1 FROM lt WHERE lt.db = db.db AND lt.t = dt.t)
+    UNION ALL SELECT 'surplus', db, program_id, t, 0 FROM lt WHERE NOT EXISTS (SELECT 1 FROM dt WHERE dt.program_id = lt.program_id AND dt.t = lt.t)""")
+
 # ---- names on both sides ----
 
 def _status(spark, sf):
@@ -198,8 +225,8 @@ QUERIES["name_status"] = Query(_status, f"""
 
 OTHER = Recipe("part", {
     "db": DB, "table_name": f"CASE WHEN p_size % 4 = 3 THEN {TABLE} ELSE upper({TABLE}) END", "position": "CAST(p_partkey % 2000 + 1 AS INT)",
-    "column_name": f"CASE WHEN p_size % 4 = 3 THEN 'other_' ELSE '' END || upper({COLUMN})",
-}, where="p_size <= 40")
+    "column_name": f"CASE WHEN p_size % 4 = 3 OR p_size > 40 THEN 'other_' ELSE '' END || upper({COLUMN})",
+})
 QUERIES["common_columns"] = Query(
     lambda spark, sf: filters.match_columns(LIVE.df(spark, sf), OTHER.df(spark, sf)).select(
         "db", "table_name", "position", "source_column", F.upper("target_column").alias("target_column")),

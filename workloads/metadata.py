@@ -83,7 +83,7 @@ QUERIES["column_guard"] = Query(_guarded, f"""
 
 FIELD_RENAMES = Recipe("part", {
     "program_id": "p_partkey % 50 + 1", "old_name": COLUMN,
-    "new_name": f"CASE WHEN p_partkey % 4 = 0 THEN upper({COLUMN}) ELSE {COLUMN} || '_new' || CAST(p_partkey AS STRING) END"}, where="p_size > 35")
+    "new_name": f"CASE WHEN p_partkey % 4 = 0 OR p_size <= 35 THEN upper({COLUMN}) ELSE {COLUMN} || '_new' || CAST(p_partkey AS STRING) END"})
 QUERIES["rename_propagate"] = Query(
     lambda spark, sf: relations.propagate_rename(RELATIONS.df(spark, sf), FIELD_RENAMES.df(spark, sf)),
     f"""WITH n AS (SELECT program_id, old_name, max(new_name) AS new_name FROM ({FIELD_RENAMES.sql}) WHERE lower(old_name) <> lower(new_name) GROUP BY ALL)
@@ -280,7 +280,7 @@ QUERIES["surplus_refresh"] = Query(
     UNION ALL SELECT l.program_id, l.db, l.table_name, column_name, TRUE FROM l JOIN surplus_tables s ON s.db = l.db AND s.t = l.t""")
 DROPPED = Recipe("part", {
     "program_id": f"{drift.PROGRAM} + 3", "db": "'old'", "table_name": "p_type",
-    "column_name": f"CASE WHEN p_type = 'PROMO' THEN NULL ELSE {COLUMN} || CAST(p_partkey AS STRING) END"}, where="p_size < 25")
+    "column_name": f"CASE WHEN p_type = 'PROMO' THEN NULL ELSE {COLUMN} || CAST(p_partkey AS STRING) || CASE WHEN p_size < 25 THEN '' ELSE '_kept' END END"})
 QUERIES["surplus_drop"] = Query(
     lambda spark, sf: ingest.drop_surplus(OLD_SURPLUS.df(spark, sf), DROPPED.df(spark, sf)),
     f"""WITH d AS ({DROPPED.sql}) SELECT * FROM ({OLD_SURPLUS.sql}) s WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.program_id = s.program_id AND d.db = s.db
@@ -289,11 +289,11 @@ QUERIES["surplus_drop"] = Query(
 # ---- dictionary ----
 
 ENTRIES = Recipe("documents", {
-    "entry_id": "doc_id * 3 + 5", "lang_id": "lang", "original": "CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 10 < 3 THEN ' common ' WHEN doc_id % 10 = 3 THEN 'COMMON' ELSE substring(text, 1, 3) END",
+    "entry_id": "doc_id * 3 + 5", "lang_id": "lang", "original": "CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 10 < 3 THEN ' common ' WHEN doc_id % 10 = 3 THEN 'COMMON' ELSE text END",
     "translation": "CASE WHEN doc_id % 8 = 0 THEN NULL ELSE 'tr ' || CAST(n_chars AS STRING) END",
     "hidden": "CASE WHEN doc_id % 9 = 0 THEN TRUE WHEN doc_id % 9 = 1 THEN FALSE END"})
 PHRASES = Recipe("documents", {
-    "doc_id": "doc_id", "lang": "lang", "phrase": "CASE WHEN doc_id % 3 = 0 THEN 'COMMON' WHEN doc_id % 50 = 1 THEN '  ' ELSE substring(text, 1, 3) || ' ' END",
+    "doc_id": "doc_id", "lang": "lang", "phrase": "CASE WHEN doc_id % 3 = 0 THEN 'COMMON' WHEN doc_id % 50 = 1 THEN '  ' ELSE text || ' ' END",
     "fallback": "CASE WHEN doc_id % 2 = 0 THEN 'fallback ' || source ELSE '' END"})
 # Keys are trimmed of every kind of blank, line ends included.
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -307,9 +307,9 @@ QUERIES["dict_deduplicate"] = Query(
     lambda spark, sf: dictionary.without_duplicates(ENTRIES.df(spark, sf)),
     f"SELECT * FROM ({ENTRIES.sql}) QUALIFY row_number() OVER (PARTITION BY lang_id, original ORDER BY entry_id) = 1")
 WANTED = Recipe("documents", {
-    "entry_no": "doc_id", "original": "CASE WHEN doc_id % 8 = 0 THEN 'Common' WHEN doc_id % 4 = 0 THEN substring(text, 1, 3) ELSE substring(text, 5, 4) END",
+    "entry_no": "doc_id", "original": "CASE WHEN doc_id % 8 = 0 THEN 'Common' WHEN doc_id % 4 = 0 THEN text ELSE text || ' new' END",
     "translation": "'new ' || CAST(doc_id AS STRING)"})
-UPDATES = Recipe("documents", {"original": "substring(text, 1, 3)", "translation": "'forced ' || CAST(n_chars AS STRING)"}, where="n_chars % 5 = 0")
+UPDATES = Recipe("documents", {"original": "CASE WHEN n_chars % 5 = 0 THEN text ELSE text || ' unknown' END", "translation": "'forced ' || CAST(n_chars AS STRING)"})
 QUERIES["dict_sync"] = Query(
     lambda spark, sf: dictionary.sync(ENTRIES.df(spark, sf), "en", WANTED.df(spark, sf), UPDATES.df(spark, sf)),
     f"""WITH clean AS (SELECT * FROM ({ENTRIES.sql}) QUALIFY row_number() OVER (PARTITION BY lang_id, original ORDER BY entry_id) = 1),

@@ -145,8 +145,7 @@ QUERIES["ddl_fk"] = Query(_fk, f"""
 PROGRAMS = Recipe("part", {"program_id": drift.PROGRAM, "name": f"'program ' || CAST({drift.PROGRAM} AS STRING)"}, distinct=True)
 PROGRAM_TABLES = Recipe("part", {
     **TABLES.columns, "program_id": drift.PROGRAM, "table_name": f"{drift.TABLE} || '_' || CAST({div('p_partkey', 200)} AS STRING)"})
-RELATIONS = Recipe("part", {**drift.DECLARED_FKS.columns, "hidden": case_of("p_partkey % 5", ["TRUE", "FALSE", "FALSE", "FALSE", None])},
-                   where="p_size <= 10")
+RELATIONS = Recipe("part", {**drift.DECLARED_FKS.columns, "hidden": case_of("p_partkey % 5", ["TRUE", "FALSE", "FALSE", "FALSE", None])})
 STAMP = "2024-01-01 00:00:00"
 HEADER = ["-- Schema export", "'-- Program : ' || name", "-- Backend : MySQL", f"-- Generated: {STAMP}", ""]
 QUERIES["ddl_script"] = Query(
