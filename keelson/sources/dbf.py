@@ -17,14 +17,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage,
 )
 
-from keelson.functions.encode import fixed_width
+from keelson.functions.convert import digit_counts, to_text
+from keelson.functions.encode import fixed_width, fixed_width_overflow
 from keelson.functions.text import DBASE_NAME
 from keelson.sources.stores import qualified
 
@@ -140,11 +141,22 @@ class RecordRange(InputPartition):
         self.path, self.first, self.rows = path, first, rows
 
 
+# A cell that is a number; anything else, such as the asterisks of an overflow, reads as NULL.
+_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
+
+
+def _text(raw: np.ndarray) -> pa.Array:
+    """The cells of a block as text without closing blanks. The code page has one character per byte, so the block is
+    decoded as one text and cut into cells again."""
+    rows, width = raw.shape
+    decoded = raw.tobytes().decode(CODE_PAGE, "replace").encode("utf-32-le")
+    cells = np.frombuffer(decoded, np.uint32).reshape(rows, width).view(f"<U{width}").ravel()
+    return pc.utf8_rtrim(pa.array(cells, pa.string()), characters=" \0")
+
+
 def _column(raw: np.ndarray, f: Field, kind: pa.DataType) -> pa.Array:
     """One field of a block of records as an Arrow array."""
-    width = raw.shape[1]
-    cells = np.ascontiguousarray(raw).view(f"S{width}").ravel()
-    text = pa.array([c.decode(CODE_PAGE, "replace").rstrip(" \0") for c in cells.tolist()], pa.string())
+    text = _text(raw)
     if f.kind == "L":
         return pc.is_in(text, pa.array(["T", "t", "Y", "y"]))
     if f.kind == "D":
@@ -152,7 +164,12 @@ def _column(raw: np.ndarray, f: Field, kind: pa.DataType) -> pa.Array:
                                    error_is_null=True), pa.date32())
     if f.kind in ("N", "F"):
         trimmed = pc.utf8_trim_whitespace(text)
-        return pc.cast(pc.if_else(pc.equal(trimmed, ""), None, trimmed), kind)
+        number = pc.if_else(pc.match_substring_regex(trimmed, _NUMBER if f.kind == "N" else _NUMBER[:-1] + "([eE][+-]?\\d+)?$"), trimmed, None)
+        if pa.types.is_int64(kind):
+            # A whole number may still be spelt with a point.
+            number = pc.replace_substring_regex(number, r"\.0*$", "")
+            number = pc.if_else(pc.match_substring_regex(number, r"^[+-]?\d+$"), number, None)
+        return pc.cast(number, kind)
     return text
 
 
@@ -242,7 +259,10 @@ class DbfWriter(DataSourceArrowWriter):
             i.path for i in system.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
             if i.path.lower().endswith(".dbf")]
         system.create_dir(folder, recursive=True)
-        for name in (n for m in messages if m for n in m.files):
+        names = [n for m in messages if m for n in m.files]
+        if not names and (self.overwrite or not _files(self.path)):
+            names = [self._save([])]  # a table without rows keeps its columns
+        for name in names:
             system.move(f"{temporary}/{name}", f"{folder}/{name}")
         for path in old:
             system.delete_file(path)
@@ -265,6 +285,8 @@ class DbfSource(DataSource):
 
     def schema(self) -> T.StructType:
         files = _files(self.options["path"])
+        if not files:
+            return T.StructType([])
         fields = _layout(files[0])[3]
         names = _full_names(files[0], fields, self.options.get("columnNames"))
         return T.StructType([spark_field(f, n) for f, n in zip(fields, names)])
@@ -280,6 +302,56 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(DbfSource)
 
 
+def _charset() -> str:
+    """Pattern of a character that the code page lacks."""
+    held = sorted(ord(c) for c in bytes(range(256)).decode(CODE_PAGE, "ignore"))
+    return "[^" + "".join(f"\\x{{{c:X}}}" for c in held) + "]"
+
+
+def unfit_reasons(df: DataFrame, fields: list[Field]) -> Column:
+    """Codes of the cells that a record would change, in column order; empty where the record keeps them all.
+
+    ``length`` (text too long), ``charset`` (a character beyond the code page), ``overflow`` (digits beyond the field),
+    ``scale`` (places beyond the field), ``time`` (a moment that is not midnight), ``date`` (no date of eight digits) and
+    ``type`` (a value that such a field cannot hold).
+    """
+    checks = []
+    for column, f in zip(df.schema, fields, strict=True):
+        c, kind = F.col(f"`{column.name}`"), column.dataType
+        if f.kind == "C":
+            shown = to_text(c, kind)
+            checks.append((F.length(shown) > f.length, f"length:{column.name}"))
+            if isinstance(kind, T.StringType):
+                checks.append((shown.rlike(_charset()), f"charset:{column.name}"))
+        elif f.kind in ("N", "F"):
+            if not isinstance(kind, (T.NumericType, T.BooleanType, T.StringType)):
+                checks.append((c.isNotNull(), f"type:{column.name}"))
+                continue
+            if isinstance(kind, (T.FloatType, T.DoubleType)):
+                checks.append((F.isnan(c) | (F.abs(c) == float("inf")), f"type:{column.name}"))
+            elif isinstance(kind, T.StringType):
+                checks.append((c.isNotNull() & c.try_cast("double").isNull(), f"type:{column.name}"))
+            checks.append((fixed_width_overflow(c, kind, f.kind, f.length, f.decimals), f"overflow:{column.name}"))
+            if not isinstance(kind, (T.IntegralType, T.BooleanType)):
+                checks.append((digit_counts(c, kind)["places"] > f.decimals, f"scale:{column.name}"))
+        elif f.kind == "D":
+            if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+                checks.append((F.date_trunc("day", c) != c, f"time:{column.name}"))
+            if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+                checks.append((~F.year(c).between(1, 9999), f"date:{column.name}"))
+            else:
+                ok = F.try_to_timestamp(c.cast("string"), F.lit("yyyyMMdd")).isNotNull() & (F.length(c.cast("string")) == 8)
+                checks.append((c.isNotNull() & ~ok, f"date:{column.name}"))
+        elif f.kind == "L":
+            if not isinstance(kind, (T.BooleanType, T.IntegralType)):
+                checks.append((c.isNotNull() & ~F.lower(c.cast("string")).isin("t", "f", "true", "false"), f"type:{column.name}"))
+            elif not isinstance(kind, T.BooleanType):
+                checks.append((~c.isin(0, 1), f"type:{column.name}"))
+        else:
+            checks.append((c.isNotNull(), f"type:{column.name}"))
+    return F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(bad, F.lit(code)) for bad, code in checks]))
+
+
 def record_text(df: DataFrame, fields: list[Field]) -> DataFrame:
     """Each row as one fixed-width record, built by native expressions."""
     cells = [fixed_width(F.col(f"`{s.name}`"), s.dataType, f.kind, f.length, f.decimals)
@@ -316,15 +388,21 @@ def collisions(columns: DataFrame) -> DataFrame:
 
 
 def write_dbf(df: DataFrame, path: str, fields: list[Field] | None = None, mode: str = "overwrite",
-              rows_per_file: int = WRITE_ROWS) -> None:
-    """Write a DataFrame as a folder of dBase files."""
+              rows_per_file: int = WRITE_ROWS) -> DataFrame:
+    """Write the rows that fit as a folder of dBase files; returns those that do not, with their ``reasons``.
+
+    A row fits when reading its record gives its values back, but for blanks at the end of texts. Whoever calls this
+    stores the returned rows; they are found again from ``df`` when they are used.
+    """
     register(df.sparkSession)
     fields = fields or [field_for(f) for f in df.schema]
     short = short_names(df.columns)
     named = [Field(short[s.name], f.kind, f.length, f.decimals) for s, f in zip(df.schema, fields)]
     text = "\n".join(f"{f.name}|{f.kind}|{f.length}|{f.decimals}" for f in named)
-    record_text(df, named).write.format("dbf").mode(mode).option("fields", text).option(
+    reasons = unfit_reasons(df, named)
+    record_text(df.filter(F.size(reasons) == 0), named).write.format("dbf").mode(mode).option("fields", text).option(
         "rowsPerFile", rows_per_file).save(qualified(df.sparkSession, path))
+    return df.withColumn("reasons", reasons).filter(F.size("reasons") > 0)
 
 
 def read_dbf(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:

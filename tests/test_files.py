@@ -62,3 +62,32 @@ def test_dump_folder(spark, tmp_path):
         (100, 10, "c1", "adVariant", None, None, "YES", None, True), (101, 10, "c2", "adLong", "d", "20", "No", "i", False)]
 
 
+
+
+def test_dbase_rows_that_do_not_fit_come_back(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [("short", 12.5, 5, "1.5"), ("much too long", 1.0, 5, "1"), ("\u2192", 2.0, 5, "1"), ("a", 0.123456, 5, "1"), ("b", 1.0, 12345, "x"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "name string, ratio double, n int, amount string")
+    fields = [dbf.Field("name", "C", 6), dbf.Field("ratio", "F", 10, 2), dbf.Field("n", "N", 3), dbf.Field("amount", "N", 8, 1)]
+    unfit = {r["name"]: r["reasons"] for r in dbf.write_dbf(df, path, fields).collect()}
+    assert unfit == {"much too long": ["length:name"], "\u2192": ["charset:name"], "a": ["scale:ratio"], "b": ["overflow:n", "type:amount"]}
+    back = sorted(map(tuple, dbf.read_dbf(spark, path).collect()), key=str)
+    assert back == [("", None, None, None), ("short", 12.5, 5, Decimal("1.5"))]
+
+
+def test_dbase_folder_without_rows_keeps_its_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    dbf.write_dbf(spark.createDataFrame([], "a int, b string"), path)
+    back = dbf.read_dbf(spark, path)
+    assert back.columns == ["a", "b"] and back.count() == 0
+    (tmp_path / "none").mkdir()
+    assert dbf.read_dbf(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_dbase_cells_that_are_no_numbers_read_as_null(spark, tmp_path):
+    fields = [dbf.Field("n", "N", 6), dbf.Field("d", "N", 6, 2), dbf.Field("f", "F", 8, 2), dbf.Field("t", "C", 3)]
+    cells = [("  12  ", "  1.50", "  1.5e1 ", "\xe9 x"), ("******", "abc   ", "********", "   "), ("  7.00", "   .5 ", "  -2.25 ", "y\0\0")]
+    body = b"".join(b" " + "".join(c).encode("latin-1") for c in cells)
+    (tmp_path / "t.dbf").write_bytes(dbf.build_header(fields, 3) + body + dbf.FILE_END)
+    back = [tuple(r) for r in dbf.read_dbf(spark, str(tmp_path / "t.dbf")).collect()]
+    assert back == [(12, Decimal("1.50"), 15.0, "\xe9 x"), (None, None, None, ""), (7, Decimal("0.50"), -2.25, "y")]

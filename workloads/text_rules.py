@@ -119,6 +119,36 @@ QUERIES["dbf_roundtrip"] = Query(_dbf, f"""
     SELECT customer_key, customer_name, customer_segment_name, CAST(account AS VARCHAR) AS account, is_positive,
            strftime(since_day, '%Y-%m-%d') AS since_day FROM x""")
 
+# Comments as texts of 20 characters, prices with more places than the field, moments within a day.
+WIDE = Recipe("orders", {
+    "o_orderkey": "o_orderkey", "note": "o_orderpriority || CASE WHEN o_orderkey % 5 = 0 THEN ' and more of it' ELSE '' END",
+    "price": "CAST(o_totalprice AS DECIMAL(18,2))", "share": "CAST(o_orderkey AS DECIMAL(18,6)) / 8", "day": "CAST(o_orderdate AS DATE)",
+    "sign": "CASE WHEN o_orderkey % 7 = 0 THEN '→' WHEN o_orderkey % 7 = 1 THEN 'š' ELSE 'a' END"})
+WIDE_FIELDS = [("o_orderkey", "N", 6, 0), ("note", "C", 20, 0), ("price", "N", 12, 2), ("share", "F", 20, 2), ("day", "D", 8, 0), ("sign", "C", 1, 0)]
+
+
+def _wide(spark, sf):
+    from keelson.operators.scale import new_folder
+    rows = WIDE.df(spark, sf)
+    path = new_folder(spark, "dbf")
+    unfit = dbf.write_dbf(rows, path, [dbf.Field(*f) for f in WIDE_FIELDS], rows_per_file=5000)
+    return dbf.read_dbf(spark, path, rows.columns), unfit
+
+
+_UNFIT = f"""
+    WITH x AS ({WIDE.sql}),
+    judged AS (SELECT *, list_filter([
+        CASE WHEN length(CAST(o_orderkey AS VARCHAR)) > 6 THEN 'overflow:o_orderkey' END, CASE WHEN length(note) > 20 THEN 'length:note' END,
+        CASE WHEN o_orderkey % 2 = 1 THEN 'scale:share' END, CASE WHEN o_orderkey % 7 = 0 THEN 'charset:sign' END], lambda c: c IS NOT NULL) AS reasons FROM x)"""
+QUERIES["dbf_rejects"] = Query(
+    lambda spark, sf: _wide(spark, sf)[1].select("o_orderkey", F.array_join("reasons", ",").alias("reasons")),
+    f"{_UNFIT} SELECT o_orderkey, array_to_string(reasons, ',') AS reasons FROM judged WHERE len(reasons) > 0")
+QUERIES["dbf_wide_values"] = Query(
+    lambda spark, sf: _wide(spark, sf)[0].select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "note", F.col("price").cast("string").alias("price"),
+                                                 F.round("share", 2).alias("share"), F.col("day").cast("string").alias("day"), "sign"),
+    f"""{_UNFIT} SELECT o_orderkey, note, CAST(price AS VARCHAR) AS price, round(o_orderkey / 8, 2) AS share, strftime(day, '%Y-%m-%d') AS day, sign
+    FROM judged WHERE len(reasons) = 0""")
+
 LONG_NAMES = Recipe("part", {"db": "lower(p_brand)", "table_name": "p_type", "column_name": "replace(p_name, ' ', '_') || '_' || CAST(p_size AS STRING)"})
 QUERIES["dbf_name_collisions"] = Query(
     lambda spark, sf: dbf.collisions(LONG_NAMES.df(spark, sf)),
