@@ -20,7 +20,7 @@ LONGEST = 128
 UNITS = re.compile(r"\x20?[^\x20\x09-\x0D]{1,%d}|[\x20\x09-\x0D]" % LONGEST)
 #: Characters of a part of a trie that is worked on at once; pre-tokens whose counts and nodes whose choices are remembered.
 #: Beyond these a task starts anew: they bound memory and change no result.
-CELLS, MOST_KNOWN, MOST_NODES = 1_500_000, 600_000, 500_000
+CELLS, MOST_KNOWN, MOST_NODES = 800_000, 600_000, 400_000
 
 
 class Vocabulary:
@@ -35,6 +35,8 @@ class Vocabulary:
         self.bytes = {int(self.texts[i][1:-1], 16): i for i in range(len(self.texts)) if model.is_byte(i)}
         self.scores = {self.texts[i]: (i, -math.log(rank + 2)) for rank, i in enumerate(plain)}
         self.byte_score = -math.log(len(self.texts)) - 10
+        # Built once and sent to the tasks as arrays.
+        self.endings = Endings(list(self.scores))
 
 
 class Endings:
@@ -97,8 +99,8 @@ class Trie:
     pre-token came to.
     """
 
-    def __init__(self, pieces: list[str]) -> None:
-        self.endings = Endings(pieces)
+    def __init__(self, endings: Endings) -> None:
+        self.endings = endings
         self.known: dict[str, int] = {}
 
     def grow(self, units) -> None:
@@ -144,7 +146,7 @@ class Viterbi(Trie):
     """Number of pieces of the best segmentation. Of equally good ones that with fewer pieces counts."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__(list(vocabulary.scores))
+        super().__init__(vocabulary.endings)
         # Score and number of pieces in one whole number: sums and ties are exact.
         self.value = np.array([(round(s * (1 << 20)) << 12) - 1 for _, s in vocabulary.scores.values()], dtype=np.int64)
         self.byte = (round(vocabulary.byte_score * (1 << 20)) << 12) - 1
@@ -180,7 +182,7 @@ class Sampler(Trie):
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__(list(vocabulary.scores))
+        super().__init__(vocabulary.endings)
         self.weight = np.array([math.exp(s + 6 * len(p)) for p, (_, s) in vocabulary.scores.items()])
         self.ids = np.array([i for i, _ in vocabulary.scores.values()], dtype=np.int64)
         self.clear()
