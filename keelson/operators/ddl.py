@@ -1,9 +1,8 @@
 """DDL text for whole fleets of tables, from catalog DataFrames.
 
-Scripts are kept as lines, one row each, with columns that give their order. So a
-table of any width, or a schema of any number of tables, is never gathered in one
-task; the writer sorts the lines by range. ``create_statements`` gives one text per
-table for the widths databases accept, and keeps wider tables as numbered pieces.
+Scripts are kept as lines, one row each, with columns that give their order, so a
+schema of any number of tables is never gathered in one task; the writer sorts the
+lines by range. The columns of one table meet in one row: that is the statement.
 """
 
 from __future__ import annotations
@@ -15,12 +14,8 @@ from keelson.functions.names import as_value
 from keelson.functions.text import fit_identifier, quote, quote_script, script_fk_name
 from keelson.functions.types import fallback_ddl, is_auto_number, to_ddl
 from keelson.operators.filters import complete_relations, visible
-from keelson.operators.scale import number_within, salted_join
+from keelson.operators.scale import number_within
 
-# No supported database declares more columns in one statement.
-WIDEST_TABLE = 32767
-# Key columns named on one line; engines allow far fewer.
-MOST_KEYS = 1024
 CASCADE_BOTH = ("MySQL", "MariaDB", "SqlServer", "PostgreSQL", "Firebird")
 CASCADE_DELETE = ("DB2", "Oracle")
 # Targets whose exported script holds foreign keys.
@@ -32,6 +27,39 @@ def _is_key(df: DataFrame) -> Column:
     return F.coalesce(F.col("is_key"), F.lit(False)) | is_auto_number(F.col("type"))
 
 
+def _table_lines(declared: DataFrame, target: str, scope: list[str]) -> DataFrame:
+    """``scope``, table_name and ``lines``: the CREATE TABLE statement as structs of section, column_id and line.
+
+    The columns of a table meet once, sorted; header, columns, key clause and end all follow from that list.
+    """
+    table = [*scope, "table_name"]
+    kind = declared.schema["column_id"].dataType
+    cols = declared.select(
+        *table, F.struct(
+            F.col("column_id").alias("id"), quote_script(target, F.col("column_name")).alias("name"),
+            to_ddl(target, F.col("type"), F.col("field_size")).alias("type"),
+            (F.coalesce("not_null", F.lit(False)) | _is_key(declared)).alias("required"), _is_key(declared).alias("key")).alias("_c"))
+    tables = cols.groupBy(*table).agg(F.array_sort(F.collect_list("_c")).alias("_cols"))
+    keys = F.filter("_cols", lambda c: c["key"])
+    clause = F.lit(target != "SQLite") & (F.size(keys) > 0)
+
+    def line(section: int, text: Column, column: Column | None = None) -> Column:
+        own = F.lit(None).cast(kind) if column is None else column
+        return F.struct(F.lit(section).alias("section"), own.alias("column_id"), text.alias("line"))
+
+    def column_line(c: Column, i: Column) -> Column:
+        comma = F.when((i + 1 == F.size("_cols")) & ~clause, F.lit("")).otherwise(F.lit(","))
+        null = F.when(c["required"], F.lit(" NOT NULL")).otherwise(F.lit(""))
+        return line(1, F.concat(F.lit("    "), c["name"], F.lit(" "), c["type"], null, comma), c["id"])
+
+    key_line = line(2, F.concat(F.lit("    PRIMARY KEY ("), F.array_join(F.transform(keys, lambda c: c["name"]), ", "), F.lit(")")))
+    suffix = " ENGINE=InnoDB DEFAULT CHARSET=utf8mb4;" if target in ("MySQL", "MariaDB") else ";"
+    head = line(0, F.concat(F.lit("CREATE TABLE "), quote_script(target, F.col("table_name")), F.lit(" (")))
+    return tables.select(*table, F.concat(
+        F.array(head), F.transform("_cols", column_line), F.filter(F.array(key_line), lambda _: clause),
+        F.array(line(3, F.lit(")" + suffix)))).alias("lines"))
+
+
 def create_lines(declared: DataFrame, target: str, scope: list[str]) -> DataFrame:
     """CREATE TABLE lines: ``scope``, table_name, section, column_id, line.
 
@@ -39,67 +67,15 @@ def create_lines(declared: DataFrame, target: str, scope: list[str]) -> DataFram
     not_null, is_key, field_size; column_id orders the columns of a table.
     """
     table = [*scope, "table_name"]
-    cols = declared.select(
-        *table, "column_id", quote_script(target, F.col("column_name")).alias("_name"),
-        to_ddl(target, F.col("type"), F.col("field_size")).alias("_type"),
-        (F.coalesce("not_null", F.lit(False)) | _is_key(declared)).alias("_required"), _is_key(declared).alias("_key"))
-    tables = cols.groupBy(*table).agg(
-        F.max("column_id").alias("_last"), F.count_if(F.col("_key")).alias("_n_keys"),
-        F.max(F.when(F.col("_key"), F.col("column_id"))).alias("_last_key"))
-    tables = tables.withColumn("_clause", F.lit(target != "SQLite") & (F.col("_n_keys") > 0))
-    body = salted_join(cols, tables.select(*table, "_last", "_clause"), table, "inner", F.col("column_id"))
-    comma = F.when((F.col("column_id") == F.col("_last")) & ~F.col("_clause"), F.lit("")).otherwise(F.lit(","))
-    body = body.select(*table, F.lit(1).alias("section"), "column_id", F.concat(
-        F.lit("    "), "_name", F.lit(" "), "_type",
-        F.when(F.col("_required"), F.lit(" NOT NULL")).otherwise(F.lit("")), comma).alias("line"))
-    suffix = " ENGINE=InnoDB DEFAULT CHARSET=utf8mb4;" if target in ("MySQL", "MariaDB") else ";"
-    kind = declared.schema["column_id"].dataType
-    frame = F.array(
-        F.struct(F.lit(0).alias("section"), F.concat(
-            F.lit("CREATE TABLE "), quote_script(target, F.col("table_name")), F.lit(" (")).alias("line")),
-        F.struct(F.lit(3).alias("section"), F.lit(")" + suffix).alias("line")))
-    ends = tables.select(*table, F.explode(frame).alias("_f")).select(
-        *table, "_f.section", F.lit(None).cast(kind).alias("column_id"), "_f.line")
-    return ends.unionByName(body).unionByName(_key_lines(cols, tables, table, kind))
-
-
-def _key_lines(cols: DataFrame, tables: DataFrame, table: list[str], kind) -> DataFrame:
-    """The PRIMARY KEY clause: one line, or one line per name where there are very many."""
-    wanted = tables.filter("_clause").select(*table, "_n_keys", "_last_key")
-    keys = salted_join(cols.filter("_key").select(*table, "column_id", "_name"), wanted, table, "inner", F.col("column_id"))
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column_id", "_name"))), lambda k: k["_name"]), ", ")
-    short = keys.filter(F.col("_n_keys") <= MOST_KEYS).groupBy(*table).agg(names.alias("_names")).select(
-        *table, F.lit(2).alias("section"), F.lit(None).cast(kind).alias("column_id"),
-        F.concat(F.lit("    PRIMARY KEY ("), "_names", F.lit(")")).alias("line"))
-    many = keys.filter(F.col("_n_keys") > MOST_KEYS)
-    first = many.groupBy(*table).agg(F.min("column_id").alias("_first"))
-    many = salted_join(many, first, table, "inner", F.col("column_id"))
-    long = many.select(
-        *table, F.lit(2).alias("section"), "column_id",
-        F.concat(F.when(F.col("column_id") == F.col("_first"), F.lit("    PRIMARY KEY (")).otherwise(F.lit("        ")), "_name",
-                 F.when(F.col("column_id") == F.col("_last_key"), F.lit(")")).otherwise(F.lit(","))).alias("line"))
-    return short.unionByName(long)
-
-
-def create_statements(declared: DataFrame, target: str, scope: list[str], widest: int = WIDEST_TABLE) -> DataFrame:
-    """One CREATE TABLE text per table, as (scope, table_name, piece, text).
-
-    A table wider than ``widest`` keeps its lines as separate pieces, in order.
-    """
+    return _table_lines(declared, target, scope).select(*table, F.explode("lines").alias("_l")).select(
+        *table, "_l.section", "_l.column_id", "_l.line")
+
+
+def create_statements(declared: DataFrame, target: str, scope: list[str]) -> DataFrame:
+    """One CREATE TABLE text per table, as (scope, table_name, piece, text); a text is one piece at every width."""
     table = [*scope, "table_name"]
-    lines = create_lines(declared, target, scope)
-    widths = lines.groupBy(*table).agg(F.count(F.lit(1)).alias("_width"))
-    sized = salted_join(lines, widths, table, "inner", F.col("line"))
-    narrow = sized.filter(F.col("_width") <= widest)
-    ordered = F.array_sort(F.collect_list(F.struct("section", F.coalesce("column_id", F.lit(0)).alias("c"), "line")))
-    whole = narrow.groupBy(*table).agg(
-        F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("text")
-    ).withColumn("piece", F.lit(0).cast("bigint"))
-    # Sections follow each other in steps that no column id reaches.
-    pieces = F.col("section").cast("bigint") * F.lit(2**60) + F.coalesce(F.col("column_id"), F.lit(0))
-    wide = sized.filter(F.col("_width") > widest).select(
-        *table, F.col("line").alias("text"), pieces.cast("bigint").alias("piece"))
-    return whole.unionByName(wide)
+    return _table_lines(declared, target, scope).select(
+        *table, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"), F.lit(0).cast("bigint").alias("piece"))
 
 
 def add_column_sql(target: str, table: Column, column: Column, type_text: Column, size: Column | int = 0) -> Column:

@@ -5,11 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.operators import checks
-
 
 @dataclass(frozen=True)
 class TableChecks:
@@ -22,37 +20,64 @@ class TableChecks:
     identity: list[str] = field(default_factory=list)
 
 
-def _rows(df: DataFrame, table: str, check: str, column, value) -> DataFrame:
-    as_name = F.lit(column) if isinstance(column, str) else column
-    return df.select(F.lit(table).alias("table_name"), F.lit(check).alias("check"), as_name.alias("column_name"),
-                     value.cast("bigint").alias("value"))
+def _facts(df: DataFrame, table: str, rule: TableChecks) -> DataFrame:
+    """Row count, violations per column and next identities of a table, from one pass."""
+    values = [("row_count", "", F.count(F.lit(1)))]
+    values += [("not_null", name, F.count_if(F.col(name).isNull())) for name in rule.not_null]
+    values += [("max_length", name, F.count_if(F.length(F.col(name).cast("string")) > n)) for name, n in rule.max_length.items()]
+    values += [("next_identity", name, F.coalesce(F.max(name).cast("bigint") + 1, F.lit(1).cast("bigint"))) for name in rule.identity]
+    found = df.agg(*[value.cast("bigint").alias(f"v{i}") for i, (_, _, value) in enumerate(values)])
+    facts = F.array(*[F.struct(F.lit(check).alias("check"), F.lit(column).alias("column_name"), F.col(f"v{i}").alias("value"))
+                      for i, (check, column, _) in enumerate(values)])
+    return found.select(F.explode(facts).alias("f")).select(F.lit(table).alias("table_name"), "f.*")
+
+
+def _uses(df: DataFrame, table: str, rules: dict[str, TableChecks], target: dict[str, DataFrame]) -> DataFrame | None:
+    """``(table_name, check, column_name, key, own, referred)``: the table's own keys, the keys it refers to and those
+    that others find in it, each with its number of rows, from one pass."""
+    uses = []
+
+    def use(owner: str, check: str, column: str, key: Column, own: int) -> None:
+        uses.append(F.struct(F.lit(owner).alias("table_name"), F.lit(check).alias("check"), F.lit(column).alias("column_name"),
+                             key.alias("key"), F.lit(own).alias("own")))
+
+    rule = rules.get(table, TableChecks())
+    if rule.keys:
+        use(table, "duplicate_keys", ",".join(rule.keys), F.to_json(F.struct(*[F.col(k) for k in rule.keys])), 1)
+    for column, _, _ in rule.foreign_keys:
+        use(table, "orphan_rows", column, F.col(column).cast("string"), 1)
+    for child, other in rules.items():
+        for column, parent, parent_column in other.foreign_keys:
+            if parent == table:
+                kind = target[child].schema[column].dataType
+                use(child, "orphan_rows", column, F.col(parent_column).try_cast(kind).cast("string"), 0)
+    if not uses:
+        return None
+    rows = df.select(F.explode(F.array(*uses)).alias("u")).select("u.*").filter(F.col("key").isNotNull())
+    names = ["table_name", "check", "column_name", "key"]
+    return rows.groupBy(*names).agg(F.sum("own").alias("own"), F.sum(1 - F.col("own")).alias("referred"))
 
 
 def post_check(source: dict[str, DataFrame], target: dict[str, DataFrame], rules: dict[str, TableChecks]) -> DataFrame:
     """(table_name, check, column_name, value) for every check of every table.
 
     Values: difference in rows, duplicate key values, orphan rows, violating rows, next
-    identity value.
+    identity value. A target is read twice: once for all that is counted, once for all
+    keys. Keys are counted within the tasks, then meet in a single shuffle.
     """
-    counts = checks.reconcile_counts(source, target)
-    parts = [counts.select(
-        "table_name", F.lit("row_difference").alias("check"), F.lit("").alias("column_name"),
-        (F.coalesce("target_rows", F.lit(0)) - F.coalesce("source_rows", F.lit(0))).cast("bigint").alias("value"))]
-    count = F.count(F.lit(1))
-    for table, rule in rules.items():
-        df = target[table]
-        if rule.keys:
-            found = checks.check_keys(df, rule.keys).agg(count.alias("v"))
-            parts.append(_rows(found, table, "duplicate_keys", ",".join(rule.keys), F.col("v")))
-        if rule.not_null or rule.max_length:
-            found = checks.check_columns(df, rule.not_null, rule.max_length)
-            parts.append(found.select(F.lit(table).alias("table_name"), F.col("rule").alias("check"), "column_name",
-                                      F.col("n_rows").cast("bigint").alias("value")))
-        for column, parent, parent_column in rule.foreign_keys:
-            found = checks.check_orphans(df, column, target[parent], parent_column).agg(
-                F.coalesce(F.sum("n_rows"), F.lit(0)).alias("v"))
-            parts.append(_rows(found, table, "orphan_rows", column, F.col("v")))
-        if rule.identity:
-            found = checks.reseed_values({table: (df, rule.identity)})
-            parts.append(_rows(found, table, "next_identity", F.col("column_name"), F.col("next_value")))
-    return reduce(DataFrame.unionByName, parts)
+    facts = reduce(DataFrame.unionByName, [_facts(df, name, rules.get(name, TableChecks())) for name, df in target.items()])
+    before = reduce(DataFrame.unionByName, [_facts(df, name, TableChecks()) for name, df in source.items()])
+    counts = facts.filter(F.col("check") == "row_count").unionByName(before.withColumn("value", -F.col("value"))).groupBy("table_name").agg(
+        F.sum("value").alias("value")).select("table_name", F.lit("row_difference").alias("check"), F.lit("").alias("column_name"), "value")
+    parts = [counts, facts.filter(F.col("check") != "row_count")]
+    used = [u for u in (_uses(df, name, rules, target) for name, df in target.items()) if u is not None]
+    if used:
+        names = ["table_name", "check", "column_name"]
+        keys = reduce(DataFrame.unionByName, used).groupBy(*names, "key").agg(F.sum("own").alias("own"), F.sum("referred").alias("referred"))
+        wrong = F.when(F.col("check") == "duplicate_keys", (F.col("own") > 1).cast("bigint")).when(F.col("referred") == 0, F.col("own")).otherwise(0)
+        expected = [(t, "duplicate_keys", ",".join(r.keys)) for t, r in rules.items() if r.keys]
+        expected += [(t, "orphan_rows", column) for t, r in rules.items() for column, _, _ in r.foreign_keys]
+        # A check without any key, as of an empty table, still has its line.
+        zero = keys.sparkSession.createDataFrame(expected, "table_name string, check string, column_name string").withColumn("value", F.lit(0).cast("bigint"))
+        parts.append(keys.select(*names, wrong.cast("bigint").alias("value")).unionByName(zero).groupBy(*names).agg(F.sum("value").alias("value")))
+    return reduce(DataFrame.unionByName, parts).select("table_name", "check", "column_name", F.col("value").cast("bigint").alias("value"))

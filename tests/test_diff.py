@@ -129,3 +129,33 @@ def test_an_empty_table_starts_its_numbers_at_one(spark):
 
     empty = spark.createDataFrame([], "k bigint")
     assert [tuple(r) for r in checks.reseed_values({"t": (empty, ["k"])}).collect()] == [("t", "k", 1)]
+
+
+def test_statements_have_one_shape_at_every_width(spark):
+    from keelson.operators import ddl
+
+    rows = [("p", "wide", i, f"c{i}", "adLong", False, i % 2 == 0, 0) for i in range(1, 3001)] + [("p", "one", 1, "c", "adLong", False, False, 0)]
+    declared = spark.createDataFrame(rows, "s string, table_name string, column_id int, column_name string, type string, not_null boolean, is_key boolean, field_size int")
+    made = ddl.create_statements(declared.repartition(5), "PostgreSQL", ["s"])
+    assert made.explain is not None and made._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 3
+    texts = {r.table_name: r.text.split("\n") for r in made.collect()}
+    assert len(texts["wide"]) == 3003 and texts["wide"][1].startswith('    "c1" ') and texts["wide"][-2].startswith('    PRIMARY KEY ("c2", "c4", ')
+    assert len(texts["one"]) == 3 and not texts["one"][1].endswith(",")
+    assert ddl.create_statements(declared.limit(0), "MySQL", ["s"]).count() == 0
+
+
+def test_post_checks_of_empty_and_uneven_tables(spark):
+    from keelson.plans.post_check import TableChecks, post_check
+
+    child = spark.createDataFrame([(i, 7 if i % 10 else i) for i in range(1000)], "id bigint, parent bigint")
+    parent = spark.createDataFrame([(7,), (10,), (20,), (20,), (None,)], "k int")
+    empty = spark.createDataFrame([], "id bigint, parent bigint")
+    rules = {"child": TableChecks(["id"], ["parent"], {"id": 2}, [("parent", "parent", "k")], ["id"]),
+             "empty": TableChecks(["id"], foreign_keys=[("parent", "parent", "k")], identity=["id"]), "parent": TableChecks(["k"])}
+    found = {(r.table_name, r.check, r.column_name): r.value for r in post_check(
+        {"child": child.limit(990), "gone": child}, {"child": child, "parent": parent, "empty": empty}, rules).collect()}
+    assert found == {
+        ("child", "row_difference", ""): 10, ("gone", "row_difference", ""): -1000, ("parent", "row_difference", ""): 5, ("empty", "row_difference", ""): 0,
+        ("child", "duplicate_keys", "id"): 0, ("child", "not_null", "parent"): 0, ("child", "max_length", "id"): 900,
+        ("child", "orphan_rows", "parent"): 98, ("child", "next_identity", "id"): 1000, ("empty", "duplicate_keys", "id"): 0,
+        ("empty", "orphan_rows", "parent"): 0, ("empty", "next_identity", "id"): 1, ("parent", "duplicate_keys", "k"): 1}
