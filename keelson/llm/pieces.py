@@ -20,7 +20,7 @@ LONGEST = 128
 UNITS = re.compile(r"\x20?[^\x20\x09-\x0D]{1,%d}|[\x20\x09-\x0D]" % LONGEST)
 #: Characters of a part of a trie that is worked on at once; pre-tokens whose counts and nodes whose choices are remembered.
 #: Beyond these a task starts anew: they bound memory and change no result.
-CELLS, MOST_KNOWN, MOST_NODES = 800_000, 600_000, 400_000
+CELLS, MOST_KNOWN, MOST_NODES = 400_000, 600_000, 300_000
 
 
 class Vocabulary:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import giving_back
 from keelson.llm.pieces import MOST_NODES, UNITS, Sampler, Vocabulary, decode, spell
-from keelson.llm.token_counts import TOGETHER, VOCABULARY
+from keelson.llm.token_counts import VOCABULARY
+
+#: Pre-tokens that are sampled together: their draws and pieces are held at once.
+TOGETHER = 50_000
 
 
 def encoder(vocabulary: Vocabulary):
