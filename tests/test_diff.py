@@ -71,21 +71,20 @@ def test_apply_then_diff_is_empty(spark):
     spark.sql("DROP DATABASE live CASCADE")
 
 
-def test_wide_tables_keep_all_lines_in_order(spark):
+def test_a_statement_is_its_lines_in_order(spark):
     rows = declared(spark).filter("table_name = 'Clients'")
     whole = ddl.create_statements(rows, "MySQL", ["program_id"]).collect()
-    pieces = sorted(ddl.create_statements(rows, "MySQL", ["program_id"], widest=2).collect(), key=lambda r: r.piece)
-    assert len(whole) == 1 and len(pieces) == 5
-    assert "\n".join(p.text for p in pieces) == whole[0].text
+    lines = sorted(ddl.create_lines(rows, "MySQL", ["program_id"]).collect(), key=lambda r: (r.section, r.column_id or 0))
+    assert len(whole) == 1 and len(lines) == 5
+    assert "\n".join(r.line for r in lines) == whole[0].text
     assert whole[0].text == ("CREATE TABLE `Clients` (\n    `id` INT AUTO_INCREMENT NOT NULL,\n    `name` VARCHAR(40),\n"
                              "    PRIMARY KEY (`id`)\n) ENGINE=InnoDB DEFAULT CHARSET=utf8mb4;")
 
 
-def test_a_very_wide_key_is_one_line_per_name(spark, monkeypatch):
-    monkeypatch.setattr(ddl, "MOST_KEYS", 2)
+def test_a_key_is_one_line(spark):
     rows = spark.createDataFrame([(1, "t", i, f"c{i}", "adLong", True, True, 0) for i in range(3)], DECLARED)
     text = ddl.create_statements(rows, "MySQL", ["program_id"]).first().text
-    assert "    PRIMARY KEY (`c0`,\n        `c1`,\n        `c2`)\n)" in text
+    assert "    PRIMARY KEY (`c0`, `c1`, `c2`)\n)" in text
 
 
 def test_scripts_are_written_in_order(spark, tmp_path):
