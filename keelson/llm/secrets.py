@@ -18,6 +18,8 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 ASSIGNED = 12
 #: Strings that are tested: whole runs of these characters.
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: The same characters one by one: a class without ranges is looked up, not compared.
+SINGLY = string.ascii_letters + string.digits + "+/_=-"
 #: Alphabets that an encoding is inferred from, the narrowest first: name, pattern, characters.
 ALPHABETS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
@@ -49,50 +51,81 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
+def agreement(e: Column) -> Column:
+    """Fisher's combination of three chances, given the sum of their negative logarithms."""
+    return F.exp(-e) * (1 + e + e * e / 2)
+
+
 def battery(text: Column, alphabet: Column) -> Column:
     """How well a string agrees with random draws from an alphabet: Fisher's combination of three chances.
 
     Chi-squared of the characters against equal shares, number of runs above and below the middle, and correlation of
-    neighbours. All depend on the string's length.
+    neighbours. All depend on the string's length. Each chance can only lower the agreement, so a string that is in the
+    lowest bin after one or two of them is not tested further.
     """
+    lowest = lambda e: agreement(e) * BINS < 0.99
     floor = lambda p: F.greatest(p, F.lit(1e-12))
     without = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
 
+    def same_characters(s: Column) -> Column:
+        equal = F.regexp_extract_all(F.array_join(F.sort_array(F.split(s, "")), ""), F.lit(r"(.)\1*"), F.lit(0))
+        return F.aggregate(equal, F.lit(0), lambda acc, c: acc + F.length(c) * F.length(c))
+
+    def order(e: Column, s: Column, letters: Column, n: Column, k: Column) -> Column:
+        half = F.floor(k / 2).cast("int")
+        bits = F.call_function("translate", s, letters, F.concat(F.repeat(F.lit("0"), half), F.repeat(F.lit("1"), (k - half).cast("int"))))
+
+        def runs(bits: Column) -> Column:
+            def chance(n1: Column) -> Column:
+                mean = 2 * n1 * (n - n1) / n + 1
+                changes = (without(bits, F.lit("01")) + without(bits, F.lit("10"))) / 2
+                return once(mean, lambda m: once((m - 1) * (m - 2) / (n - 1), lambda var: F.when(
+                    var > 1e-9, 2 * once(F.abs((changes + 1 - m) / F.sqrt(var)), normal_tail)).otherwise(0.0)))
+
+            return once(without(bits, F.lit("1")), chance)
+
+        def serial() -> Column:
+            return once(F.transform(F.split(s, ""), lambda c: (F.instr(letters, c) - 1).cast("double")), neighbours)
+
+        def neighbours(x: Column) -> Column:
+            total = F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+            square = F.aggregate(x, F.lit(0.0), lambda a, y: a + y * y)
+            cross = F.aggregate(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x)), lambda a, y: a * y), F.lit(0.0),
+                                lambda a, y: a + F.coalesce(y, F.lit(0.0)))
+            return once(F.struct((total * total / n).alias("mean"), square.alias("square"), cross.alias("cross")), lambda r: once(
+                r["square"] - r["mean"], lambda left: F.when(left > 1e-9, 2 * once(
+                    F.abs((r["cross"] - r["mean"]) / left * F.sqrt(n)), normal_tail)).otherwise(0.0)))
+
+        return once(e - F.ln(floor(once(bits, runs))), lambda e: F.when(lowest(e), F.lit(0.0)).otherwise(
+            once(e - F.ln(floor(serial())), agreement)))
+
     def test(v: Column) -> Column:
-        s, letters, k, bits, x = v["s"], v["letters"], v["k"], v["bits"], v["x"]
-        n = F.length(s).cast("double")
-        squares = F.aggregate(F.split(letters, "(?!^)"), F.lit(0.0), lambda acc, c: acc + F.pow(without(s, c), F.lit(2.0)))
-        p_chi = normal_tail((squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n)))
-        n1 = without(bits, F.lit("1"))
-        n0 = n - n1
-        changes = (without(bits, F.lit("01")) + without(bits, F.lit("10"))) / 2
-        mean = 2 * n1 * n0 / n + 1
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        p_runs = F.when(var > 0, 2 * normal_tail(F.abs((changes + 1 - mean) / F.sqrt(var)))).otherwise(0.0)
-        total = F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
-        square = F.aggregate(x, F.lit(0.0), lambda a, y: a + y * y)
-        cross = F.aggregate(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x)), lambda a, y: a * y), F.lit(0.0),
-                            lambda a, y: a + F.coalesce(y, F.lit(0.0)))
-        left = square - total * total / n
-        p_serial = F.when(left > 0, 2 * normal_tail(F.abs((cross - total * total / n) / left * F.sqrt(n)))).otherwise(0.0)
-        return F.struct((-(F.ln(floor(p_chi)) + F.ln(floor(p_runs)) + F.ln(floor(p_serial)))).alias("e"))
-
-    k = F.length(alphabet)
-    half = F.floor(k / 2).cast("int")
-    shown = F.call_function("translate", text, alphabet, F.concat(F.repeat(F.lit("0"), half), F.repeat(F.lit("1"), k - half)))
-    value = F.struct(text.alias("s"), alphabet.alias("letters"), k.cast("double").alias("k"), shown.alias("bits"),
-                     F.transform(F.split(text, "(?!^)"), lambda c: (F.instr(alphabet, c) - 1).cast("double")).alias("x"))
-    return once(once(value, test)["e"], lambda e: F.exp(-e) * (1 + e + e * e / 2))
-
-
-def band_and_bin(text: Column) -> Column:
-    """Length band of a string and agreement of its inferred encoding with chance, as a struct with the string's ``alone``:
-    whether it is letters of one case."""
-    alphabet = F.coalesce(*[F.when(text.rlike(pattern), F.lit(letters)) for _, pattern, letters in ALPHABETS])
-    fit = once(F.struct(F.translate(text, "-_=", "+/").alias("s"), alphabet.alias("letters")), lambda v: battery(v["s"], v["letters"]))
-    band = sum((F.when(F.length(text) >= b, 1).otherwise(0) for b in BANDS), F.lit(0))
+        s, letters, n, k = v["s"], v["letters"], v["n"], v["k"]
+        z = (same_characters(s) * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
+        alone = once(z, lambda z: -F.ln(floor(normal_tail(z))))
+        fit = once(alone, lambda e: F.when(lowest(e), F.lit(0.0)).otherwise(order(e, s, letters, n, k)))
+        return F.when(n < 2, F.lit(0.0)).otherwise(fit)
+
+    return once(F.struct(text.alias("s"), alphabet.alias("letters"), F.length(text).cast("double").alias("n"),
+                         F.length(alphabet).cast("double").alias("k")), test)
+
+
+def inferred(text: Column) -> Column:
+    """The narrowest alphabet that holds all of a string's characters."""
+    return F.coalesce(*[F.when(text.rlike(pattern), F.lit(letters)) for _, pattern, letters in ALPHABETS])
+
+
+def band_of(text: Column) -> Column:
+    return sum((F.when(F.length(text) >= b, 1).otherwise(0) for b in BANDS), F.lit(0)).cast("int")
+
+
+def band_and_bin(text: Column, alphabet: Column | None = None) -> Column:
+    """Length band of a string and agreement of its encoding with chance, as a struct with the string's ``alone``:
+    whether it is letters of one case. The encoding is inferred unless the alphabet, letters of one case, is given."""
+    fit = battery(F.translate(text, "-_=", "+/"), inferred(text)) if alphabet is None else battery(text, alphabet)
     bin_ = F.floor(F.coalesce(F.nanvl(fit, F.lit(0.0)), F.lit(0.0)) * (BINS - 1e-9)).cast("int")
-    return F.struct(text.rlike(ONE_CASE).alias("alone"), band.cast("int").alias("band"), bin_.alias("bin"))
+    alone = text.rlike(ONE_CASE) if alphabet is None else F.lit(True)
+    return F.struct(alone.alias("alone"), band_of(text).alias("band"), bin_.alias("bin"))
 
 
 def tested(found: Column) -> Column:
@@ -106,23 +139,37 @@ def stretches(text: Column) -> Column:
 
     They stand for what text of their length looks like when it is no secret.
     """
-    glued = F.regexp_replace(F.regexp_replace(text, RUN, " "), "[^A-Za-z0-9+/_=-]+", "")
+    glued = F.regexp_replace(text, f"[{SINGLY}]{{20,}}+|[^{SINGLY}]+", "")
     return F.filter(once(glued, lambda g: F.concat(*[F.regexp_extract_all(g, F.lit(CUT), F.lit(k + 1)) for k in range(len(PROSE))])),
                     lambda s: s != "")
 
 
-def ordinary(texts: DataFrame) -> DataFrame:
+def ordinary(texts: DataFrame, wanted: set[tuple[bool, int]] | None = None) -> DataFrame:
     """``(alone, band, bin, null)``: counts of the strings of all ordinary text, summed up within the tasks first.
 
-    All count for strings of any kind; their letters in one case count for strings of letters of one case.
+    All count for strings of any kind; their letters in one case count for strings of letters of one case. ``wanted``
+    names the classes and bands that have strings to judge; the counts of others decide nothing and are left out.
     """
-    whole = F.transform(F.col("s"), band_and_bin)
-    folded = F.transform(F.filter(F.transform(F.col("s"), lambda s: F.regexp_replace(F.lower(s), "[^a-z]", "")), lambda s: F.length(s) >= LEAST), band_and_bin)
-    cells = texts.select(stretches(F.col("_t")).alias("s")).select(F.explode(F.concat(
-        F.transform(whole, lambda r: F.struct(F.lit(False).alias("alone"), r["band"].alias("band"), r["bin"].alias("bin"))), folded)).alias("r"))
+    every = [(alone, band) for alone in (False, True) for band in range(len(BANDS) + 1)]
+    bands = {kind: [band for alone, band in sorted(every if wanted is None else wanted) if alone == kind] for kind in (False, True)}
+    whole = F.transform(F.filter(F.col("s"), lambda s: band_of(s).isin(bands[False])), lambda s: band_and_bin(s))
+    letters = F.transform(F.col("s"), lambda s: F.regexp_replace(F.lower(s), f"[^{string.ascii_lowercase}]+", ""))
+    folded = F.transform(F.filter(letters, lambda s: (F.length(s) >= LEAST) & band_of(s).isin(bands[True])),
+                         lambda s: band_and_bin(s, F.lit(string.ascii_lowercase)))
+    parts = [F.transform(whole, lambda r: F.struct(F.lit(False).alias("alone"), r["band"].alias("band"), r["bin"].alias("bin")))] if bands[False] else []
+    parts += [folded] if bands[True] else []
+    if not parts:
+        return texts.sparkSession.createDataFrame([], "alone boolean, band int, bin int, null long")
+    cells = texts.select(stretches(F.col("_t")).alias("s")).select(F.explode(F.concat(*parts)).alias("r"))
     return cells.groupBy("r.alone", "r.band", "r.bin").agg(F.count(F.lit(1)).alias("null"))
 
 
+def to_judge(rows: DataFrame) -> set[tuple[bool, int]]:
+    """Classes and length bands of the runs: at most ten."""
+    found = rows.select(F.explode("runs").alias("r")).select("r.alone", "r.band").distinct()
+    return {(r["alone"], r["band"]) for r in found.collect()}
+
+
 def thresholds(rows: DataFrame, nulls: DataFrame, rate: float) -> dict[tuple[bool, int], int]:
     """Lowest bin per class and length band at which the false-discovery rate of Benjamini and Hochberg stays within ``rate``.
 
@@ -152,10 +199,10 @@ def secret_spans(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     base = F.concat(of_kind(F.filter(matches(F.col("_t"), ASSIGN), value), 0, "assign"), of_kind(matches(F.col("_t"), ACCESS), 1, "access"),
                     of_kind(matches(F.col("_t"), HEX), 2, "hex"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_t")).select(
-        "doc_id", by_start(base).alias("base"), 
+        "doc_id", by_start(base).alias("base"),
         tested(matches(F.col("_t"), RUN)).alias("runs"))
     rows = stored(rows, "secrets")
-    limit = thresholds(rows, ordinary(docs.select(text.alias("_t"))), rate)
+    limit = thresholds(rows, ordinary(docs.select(text.alias("_t")), to_judge(rows)), rate)
 
     def flagged(r: Column) -> Column:
         need = F.lit(BINS)

@@ -356,3 +356,52 @@ def test_pipeline_on_awkward_tables(spark, tmp_path, rows):
     spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     found = contract.queries()["pipeline"](spark, str(tmp_path)).collect()
     assert (len(found) > 0) == (len(rows) > 1)
+
+
+def plain_bin(text, letters):
+    """The battery for one string, as its definition says."""
+    import math
+
+    s = text.translate({ord("-"): "+", ord("_"): "/", ord("="): None})
+    n, k = len(s), len(letters)
+    if n < 2:
+        return 0
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    z = (sum(c * c for c in collections.Counter(s).values()) * k / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n))
+    x = [letters.index(c) for c in s]
+    bits = [v >= k // 2 for v in x]
+    n1, mean = sum(bits), 2 * sum(bits) * (n - sum(bits)) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    changes = sum(a != b for a, b in zip(bits, bits[1:]))
+    # Pairs such as 0101 hold 01 twice and 10 once, found without overlap.
+    p_runs = 2 * tail(abs((changes + 1 - mean) / math.sqrt(var))) if var > 1e-9 else 0.0
+    left = sum(v * v for v in x) - sum(x) ** 2 / n
+    cross = sum(a * b for a, b in zip(x, x[1:])) - sum(x) ** 2 / n
+    p_serial = 2 * tail(abs(cross / left * math.sqrt(n))) if left > 1e-9 else 0.0
+    e = -sum(math.log(max(p, 1e-12)) for p in (tail(z), p_runs, p_serial))
+    return math.floor(math.exp(-e) * (1 + e + e * e / 2) * (secrets.BINS - 1e-9))
+
+
+def test_battery_is_its_definition(spark):
+    import string
+
+    rng = random.Random(8)
+    odd = ["=" * 30, "-_" * 15, "a" * 40, "ab" * 30, "=" * 29 + "a", "the" * 9, "thepeopleofthetownwerethereallthesummer", "A" * 25 + "="]
+    kinds = ("0123456789abcdef", string.ascii_lowercase, string.ascii_letters, string.ascii_letters + string.digits + "+/")
+    texts = odd + ["".join(rng.choices(kinds[i % 4], k=rng.randrange(20, 140))) for i in range(120)]
+    texts += ["".join(rng.choices(string.ascii_lowercase, weights=range(1, 27), k=rng.randrange(20, 60))) for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string")
+    found = rows.select("s", secrets.band_and_bin(rows["s"]).alias("r"), secrets.inferred(rows["s"]).alias("letters")).collect()
+    assert len({r["r"]["bin"] for r in found}) > 20
+    for r in found:
+        assert r["r"]["bin"] == plain_bin(r["s"], r["letters"]), r["s"]
+        assert r["r"]["band"] == sum(len(r["s"]) >= b for b in secrets.BANDS)
+    assert secrets.secret_spans(spark.createDataFrame([(1, "=" * 60), (2, "x " + "-" * 200)], "doc_id long, text string")).count() == 2
+
+
+def test_only_bands_to_judge_are_counted(spark):
+    texts = spark.createDataFrame([(" ".join(words(900, 5)),), ("some more ordinary words " * 40,), (None,)], "_t string").fillna("")
+    whole = {tuple(r) for r in secrets.ordinary(texts).collect()}
+    some = {(False, 1), (True, 0)}
+    assert {tuple(r) for r in secrets.ordinary(texts, some).collect()} == {r for r in whole if (r[0], r[1]) in some}
+    assert secrets.ordinary(texts, set()).count() == 0
