@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.common import giving_back
 from keelson.llm.shingles import Hasher, mixed, text_runs
 
 
@@ -167,7 +168,7 @@ def scored(docs: DataFrame, features, hasher, finish, schema: str, keep: list[st
                     [*[batch.column(k + 1).slice(at, len(bounds) - 1) for k in range(len(keep))], *[pa.array(c) for c in found.values()]],
                     names=[*keep, *found])
 
-    return docs.select(F.col("text").cast("string").alias("_text"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col("text").cast("string").alias("_text"), *keep).mapInArrow(giving_back(run), schema)
 
 
 def sums(weights: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:

@@ -11,6 +11,8 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from keelson.llm.shingles import mixed
 
@@ -275,13 +277,20 @@ def spell(pieces: np.ndarray, bytes_of: dict[int, int]) -> tuple[np.ndarray, np.
     return out, sizes
 
 
-def decode(ids: list[int], texts: list[str], byte_values: dict[int, int]) -> str:
-    """The text of a list of piece ids."""
-    out = bytearray()
-    for i in ids:
-        value = byte_values.get(i)
-        if value is None:
-            out += texts[i].replace(SPACE, " ").encode()
-        else:
-            out.append(value)
-    return out.decode("utf-8", "surrogatepass")
+class Decoder:
+    """Texts of lists of piece ids: the bytes of the pieces are taken for all lists at once and stand in order."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        own = [t.replace(SPACE, " ").encode() for t in vocabulary.texts]
+        for value, i in vocabulary.bytes.items():
+            own[i] = bytes([value])
+        self.bytes = pa.array(own, pa.large_binary())
+
+    def texts(self, ids: pa.ListArray) -> pa.Array:
+        """One text for each list; a NULL list gives an empty one, NULL ids give nothing."""
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        taken = self.bytes.take(ids.flatten())
+        _, offsets, data = taken.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64)[:len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+        bounds = ends[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+        return pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(np.ascontiguousarray(bounds)), data or pa.py_buffer(b"")).cast(pa.string())

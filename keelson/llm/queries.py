@@ -53,8 +53,8 @@ def op9_exact_duplicates(spark, sf_dir):
 
 
 def op10_sampled_pieces(spark, sf_dir):
-    ids = sentencepieces.encode(table(spark, sf_dir, "documents"))
-    return ids.select("doc_id", F.size("ids").alias("n_pieces"), "ids")
+    both = sentencepieces.round_trip(table(spark, sf_dir, "documents"))
+    return both.select("doc_id", F.size("ids").alias("n_pieces"), "ids", F.sha2("text", 256).alias("text_sha256"), "lossless")
 
 
 def op11_benchmark_winnowing(spark, sf_dir):

@@ -405,3 +405,35 @@ def test_only_bands_to_judge_are_counted(spark):
     some = {(False, 1), (True, 0)}
     assert {tuple(r) for r in secrets.ordinary(texts, some).collect()} == {r for r in whole if (r[0], r[1]) in some}
     assert secrets.ordinary(texts, set()).count() == 0
+
+
+def test_decoding_is_lossless(spark, docs, nothing):
+    both = sentencepieces.round_trip(docs).cache()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in both.collect()) == sorted((str(i), t or "") for i, t in TEXTS)
+    assert all(r["lossless"] for r in both.collect())
+    assert sorted(map(str, both.select("doc_id", "ids").collect())) == sorted(map(str, sentencepieces.encode(docs).collect()))
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [None])], "doc_id long, ids array<int>")
+    assert sorted(map(tuple, sentencepieces.decode_rows(odd).collect())) == [(1, ""), (2, ""), (3, "")]
+    assert sentencepieces.round_trip(nothing).count() == sentencepieces.decode_rows(sentencepieces.encode(nothing)).count() == 0
+
+
+def test_draws_follow_the_lattice(spark):
+    import math
+
+    vocabulary = Vocabulary(token_counts.VOCABULARY)
+    form = piece_form(" house")
+
+    def ways(rest):
+        if not rest:
+            return [((), 1.0)]
+        return [((vocabulary.scores[rest[:k]][0], *more), math.exp(vocabulary.scores[rest[:k]][1]) * w)
+                for k in range(1, len(rest) + 1) if rest[:k] in vocabulary.scores for more, w in ways(rest[k:])]
+
+    every = dict(ways(form))
+    whole, n = sum(every.values()), 20000
+    drawn = collections.Counter(tuple(r["ids"]) for r in sentencepieces.encode(
+        spark.range(n).selectExpr("id AS doc_id", "' house' AS text")).collect())
+    assert set(drawn) <= set(every) and len(drawn) > 3
+    for way, weight in every.items():
+        p = weight / whole
+        assert abs(drawn[way] / n - p) <= 5 * math.sqrt(p * (1 - p) / n) + 1e-4
