@@ -30,8 +30,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, number of pieces and piece ids of every row."""
-    return sentencepieces.encode(docs).select("doc_id", F.size("ids").alias("n_pieces"), "ids")
+    """doc_id, piece ids and their number for every row, the hash of the text decoded from them, and whether it is the row's."""
+    return sentencepieces.round_trip(docs).select(
+        "doc_id", F.size("ids").alias("n_pieces"), "ids", F.sha2("text", 256).alias("text_sha256"), "lossless")
 
 
 STAGES = [("toxicity", clean), ("exact_dedup", exact), ("ngram_jaccard_join", near), ("source_mix", mix), ("sentencepieces", encode)]
