@@ -222,7 +222,10 @@ class FleetDiff:
 
         def mark(df: DataFrame, side: DataFrame, names: dict[str, str], flag: str, scope: str) -> DataFrame:
             renamed = side.select(scope, *[F.col(k).alias(v) for k, v in names.items()], F.col("_has").alias(flag))
-            return salted_join(df, renamed, [scope, *names.values()], "left", F.concat("db", "field"))
+            on = [scope, *names.values()]
+            # A name within one database has that database's relations alone, and the live catalog is the larger side:
+            # it is not repeated. A name within a program has those of all its databases.
+            return df.join(renamed, on, "left") if scope == "db" else salted_join(df, renamed, on, "left", F.concat("db", "field"))
 
         rows = self.missing_fks
         rows = mark(rows, tables, {"_t": "_ct"}, "_child", "program_id")

@@ -15,7 +15,7 @@ from keelson.functions.names import is_empty, key
 from keelson.functions.types import normalise_type
 from keelson.operators.filters import visible, without_system_tables
 from keelson.operators.relations import clear_programs
-from keelson.operators.scale import cut_lineage, first_per_key, number_rows, salted_join
+from keelson.operators.scale import cut_lineage, first_per_key, heavy_join, number_rows, salted_join
 
 COLUMN_VALUES = ["type", "default_value", "field_size", "allow_null", "indexed", "is_key"]
 
@@ -43,7 +43,7 @@ def drop_orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key
 def _find(rows: DataFrame, store: DataFrame, keys: list[str], store_id: str) -> DataFrame:
     """Rows with the lowest id of the visible stored row of the same key, or NULL."""
     stored = visible(store).groupBy(*keys).agg(F.min(store_id).alias("_found"))
-    return salted_join(rows, stored, keys, "left", F.col("id"))
+    return heavy_join(rows, stored, keys, "left", F.col("id"))
 
 
 def _merge_parents(rows: DataFrame, store: DataFrame, keys: list[str], store_id: str) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +52,7 @@ def _merge_parents(rows: DataFrame, store: DataFrame, keys: list[str], store_id:
     fresh = first_per_key(found.filter(F.col("_found").isNull()).drop("_found"), keys, ["id"])
     fresh = number_rows(fresh, ["id"], "_new", _next_id(store, store_id))
     made = fresh.select(*keys, "_new")
-    mapped = salted_join(found, made, keys, "left", F.col("id"))
+    mapped = heavy_join(found, made, keys, "left", F.col("id"))
     id_map = mapped.groupBy("id").agg(F.max(F.coalesce("_found", "_new")).alias("new_id"))
     return fresh, cut_lineage(id_map)
 

@@ -18,6 +18,22 @@ def test_salted_join_equals_plain_join(spark):
         assert one.count() == many.join(few, "k", how).count()
 
 
+def test_heavy_join_equals_plain_join(spark):
+    ids = spark.range(20000)
+    frames = [
+        ids.select("id", F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id")).alias("k")),  # nine in ten rows share a key
+        ids.select("id", F.when(F.col("id") % 3 > 0, None).otherwise(F.col("id") % 9000).alias("k")),  # two in three have none
+        ids.select("id", F.col("id").alias("k")), ids.filter("id < 0").select("id", F.col("id").alias("k"))]
+    few = spark.range(0, 15000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for many in frames:
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            one, plain = scale.heavy_join(many, few, ["k"], how, F.col("id")), many.join(few, "k", how)
+            assert sorted(map(str, one.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    found = [scale.heavy_keys(many, ["k"]) for many in frames]
+    seven = spark.range(1).select(F.xxhash64(F.lit(7).cast("long"))).first()[0]
+    assert found[0] == [seven] and len(found[1]) == 1 and found[2] == found[3] == []
+
+
 def test_numbers_are_consecutive_in_order(spark):
     df = skewed(spark)
     rows = scale.number_rows(df, ["k", "id"], "n", 10).orderBy("n").collect()
