@@ -1,11 +1,15 @@
 """Schema drift of a fleet: live catalogs derived from part, against the schema of their program.
 
 Every brand is a program, split into databases of a bounded number of parts, so that the number
-of databases grows with the data. Drift comes from names that differ; all rows count.
+of databases grows with the data. Drift comes from names that differ; all rows count. Where the columns
+that databases lack are asked for, five programs share the brands: a database lacks what its
+program declares for the parts of all its brands.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from keelson.operators import diff, filters
@@ -18,6 +22,7 @@ QUERIES: dict[str, Query] = {}
 BRAND = "CAST(substring(p_brand, 7) AS BIGINT)"
 DB = f"lower(p_brand) || '_' || CAST({div('p_partkey', 2000)} AS STRING)"
 PROGRAM = BRAND
+SHARED_PROGRAM = f"{BRAND} % 5 + 1"
 BACKENDS = ["SQLite", "MySQL", "PostgreSQL", "Oracle", "DBase", "SqlServer"]
 BACKEND = case_of(f"{BRAND} % 6", [text(b) for b in BACKENDS])
 TABLE = "p_type || '_' || CAST(p_size % 4 AS STRING)"
@@ -59,9 +64,13 @@ LIVE_FKS = Recipe("part", {
 })
 
 
-def fleet(spark, sf) -> FleetDiff:
-    return FleetDiff(DATABASES.df(spark, sf), DECLARED.df(spark, sf), LIVE.df(spark, sf),
-                     DECLARED_FKS.df(spark, sf), LIVE_FKS.df(spark, sf))
+def of_program(recipe: Recipe, program: str) -> Recipe:
+    return replace(recipe, columns={**recipe.columns, "program_id": program})
+
+
+def fleet(spark, sf, program: str = PROGRAM) -> FleetDiff:
+    databases, declared, fks = (of_program(r, program).df(spark, sf) for r in (DATABASES, DECLARED, DECLARED_FKS))
+    return FleetDiff(databases, declared, LIVE.df(spark, sf), fks, LIVE_FKS.df(spark, sf))
 
 
 # ---- the same in SQL ----
@@ -119,6 +128,11 @@ BASE = f"""
                NULL, parent_table, fk_name, cascade, reason FROM fks)"""
 
 
+SHARED_BASE = BASE
+for _recipe in (DATABASES, DECLARED, DECLARED_FKS):
+    SHARED_BASE = SHARED_BASE.replace(f"({_recipe.sql})", f"({of_program(_recipe, SHARED_PROGRAM).sql})")
+
+
 def _sql(select: str) -> str:
     return f"WITH {BASE} {select}"
 
@@ -127,8 +141,8 @@ QUERIES["fleet_missing_tables"] = Query(
     lambda spark, sf: fleet(spark, sf).missing_tables.drop("_t"),
     _sql("SELECT db, program_id, table_name, n_columns FROM missing_tables"))
 QUERIES["fleet_missing_columns"] = Query(
-    lambda spark, sf: fleet(spark, sf).missing_columns.drop("_t", "_c"),
-    _sql("SELECT * EXCLUDE (t, c) FROM missing_columns"))
+    lambda spark, sf: fleet(spark, sf, SHARED_PROGRAM).missing_columns.drop("_t", "_c"),
+    f"WITH {SHARED_BASE} SELECT * EXCLUDE (t, c) FROM missing_columns")
 QUERIES["fleet_surplus_columns"] = Query(
     lambda spark, sf: fleet(spark, sf).surplus_columns, _sql("SELECT * FROM surplus_columns"))
 QUERIES["fleet_surplus_tables"] = Query(
