@@ -2,7 +2,7 @@
 
 import pytest
 
-from workloads import drift
+from workloads import drift, scripts
 
 
 @pytest.fixture(scope="module")
@@ -17,3 +17,8 @@ def test_missing_columns_of_all_brands_of_a_program(spark, two_brands):
     rows = drift.QUERIES["fleet_missing_columns"].run(spark, two_brands).collect()
     assert {(r.db, r.program_id, r.column_name) for r in rows} == {("brand#11_0", 2, "blue_two"), ("brand#21_0", 2, "red_one")}
     assert len(rows) == 2
+
+
+def test_statements_for_all_brands_of_a_program(spark, two_brands):
+    rows = scripts.QUERIES["ddl_add_fleet"].run(spark, two_brands).collect()
+    assert {(r.db, r.table_name, r.column_name) for r in rows} == {("brand#11_0", "PROMO_0", "blue_two"), ("brand#21_0", "PROMO_0", "red_one")}

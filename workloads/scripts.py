@@ -93,8 +93,8 @@ QUERIES["ddl_add"] = Query(_add, f"""
         'ALTER TABLE ' || {DOUBLE.format('table_name')} || ' ADD COLUMN ' || {DOUBLE.format('column_name')} || ' ' || {_sized('VARCHAR', 'CLOB(1M)', 32672)} AS on_db2
     FROM x""")
 QUERIES["ddl_add_fleet"] = Query(
-    lambda spark, sf: ddl.ddl_add(drift.fleet(spark, sf).actions, "PostgreSQL"),
-    f"""WITH {drift.BASE}
+    lambda spark, sf: ddl.ddl_add(drift.fleet(spark, sf, drift.SHARED_PROGRAM).actions, "PostgreSQL"),
+    f"""WITH {drift.SHARED_BASE}
     SELECT db, table_name, column_name, 'ALTER TABLE "' || table_name || '" ADD COLUMN IF NOT EXISTS "' || column_name || '" ' || CASE
         WHEN type IN ('AutoNumber', 'INT IDENTITY(1,1)') THEN 'SERIAL' WHEN type = 'adLong' THEN 'INTEGER' WHEN type = 'adWChar'
         THEN 'VARCHAR(' || field_size || ')' WHEN type = 'adDate' THEN 'TIMESTAMP' ELSE 'BOOLEAN' END AS sql FROM missing_columns""")
