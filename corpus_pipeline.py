@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import exact_dedup, mixing, ngram_join, sentencepieces, toxicity
-from keelson.llm.common import stored, table
+from keelson.llm.common import small_batches, stored, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,18 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").alias("n_pieces"), "ids", F.sha2("text", 256).alias("text_sha256"), "lossless")
 
 
-STAGES = [("toxicity", clean), ("exact_dedup", exact), ("ngram_jaccard_join", near), ("source_mix", mix), ("sentencepieces", encode)]
+def lean(stage):
+    """The stage with small batches for its Python workers: they share their executor's memory with a full heap."""
+
+    def run_lean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_lean
+
+
+STAGES = [(name, lean(stage)) for name, stage in (
+    ("toxicity", clean), ("exact_dedup", exact), ("ngram_jaccard_join", near), ("source_mix", mix), ("sentencepieces", encode))]
 #: Learnt models, random rounding and sampled segmentations are beyond SQL.
 ORACLE_SQL = None
 

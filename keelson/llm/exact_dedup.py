@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import join_small, lower_ascii, stored
+from keelson.llm.common import giving_back, join_small, lower_ascii, stored
 
 CHUNK_ROWS = 1 << 18
 OWNER_ROWS = 1 << 20
@@ -115,11 +115,11 @@ def suspects(docs: DataFrame) -> DataFrame:
     """Distinct ids whose fingerprint occurs more than once."""
     prints = docs.select(F.col("doc_id").cast("long"), F.xxhash64(lower_ascii(F.col("text"))).alias("fp")).filter("doc_id is not null")
     owners = max(FEWEST_OWNERS, -(-docs.count() // OWNER_ROWS))
-    coded = stored(prints.mapInPandas(encoder(owners), CODED), "golomb")
+    coded = stored(prints.mapInPandas(giving_back(encoder(owners)), CODED), "golomb")
     maps = coded.select("chunk", "owner", "n", "start", "width", "unary", "rest").groupBy("owner").applyInPandas(
         answer, "chunk string, owner long, bitmap binary")
     marked = coded.select("chunk", "owner", "runs", "ids").join(maps, ["chunk", "owner"])
-    return stored(marked.select("runs", "ids", "bitmap").mapInArrow(expand, "doc_id long").distinct(), "suspects")
+    return stored(marked.select("runs", "ids", "bitmap").mapInArrow(giving_back(expand), "doc_id long").distinct(), "suspects")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -186,12 +186,12 @@ class Sampler(Trie):
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__(vocabulary.endings)
         self.weight = np.array([math.exp(s + 6 * len(p)) for p, (_, s) in vocabulary.scores.items()])
-        self.ids = np.array([i for i, _ in vocabulary.scores.values()], dtype=np.int64)
+        self.ids = np.array([i for i, _ in vocabulary.scores.values()], dtype=np.int32)
         self.clear()
 
     def clear(self) -> None:
         self.known, self.size, self.parts = {}, 1, []
-        self.bounds, self.before, self.piece = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.bounds, self.before, self.piece = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32)
 
     def begin(self, n: int) -> None:
         self.forward = np.zeros(n)
@@ -214,7 +214,8 @@ class Sampler(Trie):
 
     def keep(self, node, before, piece, bound) -> None:
         shift = self.size - 1
-        self.parts.append((node + shift, np.where(before > 0, before + shift, 0), piece, bound))
+        # Half the width is enough for nodes, of which there are few millions, and for pieces.
+        self.parts.append(((node + shift).astype(np.int32), np.where(before > 0, before + shift, 0).astype(np.int32), piece.astype(np.int32), bound))
 
     def done(self, nodes: np.ndarray) -> list[int]:
         node, before, piece, bound = (np.concatenate(x) for x in zip(*self.parts, strict=True))
