@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import exact_dedup, mixing, ngram_join, sentencepieces, toxicity
-from keelson.llm.common import small_batches, stored, table
+from keelson.llm.common import release, small_batches, stored, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +36,15 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lean(stage):
-    """The stage with small batches for its Python workers: they share their executor's memory with a full heap."""
+    """The stage with small batches for its Python workers: they share their executor's memory with a full heap. The
+    driver's Python shares with one too, and hands back what a fitted model leaves behind before the stage's rows are made."""
 
     def run_lean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         small_batches(spark)
-        return stage(spark, docs, sf_dir)
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            release()
 
     return run_lean
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import giving_back
+from keelson.llm.common import giving_back, stored
 from keelson.llm.shingles import Hasher, mixed, text_runs
 
+#: Files that a sample comes to the driver in, and rows whose features it spreads out at once: they bound its memory only.
+SAMPLE_PARTS, TOGETHER = 8, 256
+
 
 def word_features(buckets: int, stems: tuple[int, ...] = (4, 5)):
     """Per text, as bucket numbers: distinct words (runs of letters, A-Z lower-cased) and their first bytes, and which
@@ -74,7 +79,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: list[str], feat
                     names=["features", "doc_id", *targets])
 
     kinds = ", ".join(f"{t} int" for t in targets)
-    found = rows.mapInArrow(run, f"features binary, doc_id long, {kinds}").orderBy("doc_id", *targets).limit(most_rows).collect()
+    found = rows.mapInArrow(giving_back(run), f"features binary, doc_id long, {kinds}").orderBy("doc_id", *targets).limit(most_rows)
+    # The driver's JVM merges nothing and holds one part at a time; its heap would stay as large as the whole sample made it.
+    found = stored(found.repartition(SAMPLE_PARTS), "sample").toLocalIterator()
+    found = sorted(found, key=lambda r: (r["doc_id"], *[r[t] for t in targets], r["features"]))
     sets = [np.frombuffer(r["features"], dtype=np.int32) for r in found]
     return sets, np.array([[r[t] for t in targets] for r in found]).reshape(len(found), len(targets))
 
@@ -83,18 +91,20 @@ class Rows:
     """Sets of feature numbers as one array; features that few rows have are left out of the fit."""
 
     def __init__(self, sets: list[np.ndarray], buckets: int, fewest: int) -> None:
-        flat = np.concatenate(sets) if sets else np.empty(0, np.int32)
-        self.used = np.flatnonzero(np.bincount(flat, minlength=buckets) >= fewest)
+        counts = np.zeros(buckets, dtype=np.int64)
+        for s in sets:
+            np.add.at(counts, s, 1)
+        self.used = np.flatnonzero(counts >= fewest)
         place = np.full(buckets, -1, dtype=np.int32)
         place[self.used] = np.arange(len(self.used))
         self.sets = [place[s][place[s] >= 0] for s in sets]
         self.width = len(self.used)
 
-    def of(self, rows) -> tuple[np.ndarray, np.ndarray]:
-        """Features of the rows one after the other, and the row of each."""
-        own = [self.sets[r] for r in rows]
-        flat = np.concatenate(own) if own else np.empty(0, np.int32)
-        return flat, np.repeat(np.arange(len(own)), [len(s) for s in own])
+    def of(self, rows) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Few rows at a time: their place in ``rows``, their features one after the other, and the row there of each."""
+        for at in range(0, len(rows), TOGETHER):
+            own = [self.sets[r] for r in rows[at:at + TOGETHER]]
+            yield slice(at, at + len(own)), np.concatenate(own), np.repeat(np.arange(len(own)), [len(s) for s in own])
 
 
 def ratios(rows: Rows, chosen: np.ndarray, y: np.ndarray, least: float = 0.0) -> np.ndarray:
@@ -102,9 +112,10 @@ def ratios(rows: Rows, chosen: np.ndarray, y: np.ndarray, least: float = 0.0) ->
 
     It is 0 for features whose chi-squared statistic is below ``least``.
     """
-    flat, which = rows.of(chosen)
-    ones = np.bincount(flat, weights=y[chosen][which], minlength=rows.width)
-    total = np.bincount(flat, minlength=rows.width)
+    ones, total, goal = np.zeros(rows.width), np.zeros(rows.width, dtype=np.int64), y[chosen]
+    for part, flat, which in rows.of(chosen):
+        ones += np.bincount(flat, weights=goal[part][which], minlength=rows.width)
+        total += np.bincount(flat, minlength=rows.width)
     good, bad = ones + 1.0, total - ones + 1.0
     out = np.log(good / good.sum()) - np.log(bad / bad.sum())
     share = min(max(float(y[chosen].mean()), 1e-9), 1 - 1e-9)
@@ -151,8 +162,9 @@ def fit_hinge(rows: Rows, chosen: np.ndarray, y: np.ndarray, earlier: np.ndarray
 
 
 def margins(rows: Rows, chosen: np.ndarray, weights: np.ndarray, rest: np.ndarray, earlier: np.ndarray | None = None) -> np.ndarray:
-    flat, which = rows.of(chosen)
-    out = np.bincount(which, weights=weights[flat], minlength=len(chosen)) + rest[-1]
+    out = np.full(len(chosen), rest[-1], dtype=float)
+    for part, flat, which in rows.of(chosen):
+        out[part] += np.bincount(which, weights=weights[flat], minlength=part.stop - part.start)
     return out + earlier[chosen] @ rest[:-1] if earlier is not None else out
 
 
