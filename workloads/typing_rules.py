@@ -245,7 +245,7 @@ def _types(spark, sf):
     rows = _columns(spark, sf)
     clamped = catalog.column_types(rows, legacy_int_clamp=True).withColumnRenamed("canonical", "legacy")
     return clamped.select("db", "table_name", "column_name", "legacy").join(
-        catalog.column_types(rows).select("db", "table_name", "column_name", "canonical"),
+        catalog.column_types(rows).select("db", "table_name", "column_name", "canonical").hint("merge"),
         ["db", "table_name", "column_name"])
 
 
