@@ -28,7 +28,7 @@ from keelson.functions.names import key
 from keelson.functions.text import fk_name, supports_foreign_keys
 from keelson.functions.types import is_auto_number
 from keelson.operators.filters import complete_relations
-from keelson.operators.scale import cut_lineage, salted_join
+from keelson.operators.scale import FEWEST_SALTS, cut_lineage, salted_join
 
 ACTION_COLUMNS = [
     "db", "action", "table_name", "column_name", "type", "not_null", "is_key", "field_size",
@@ -37,6 +37,8 @@ ACTION_COLUMNS = [
 CREATE_TABLE, ADD_COLUMN = "create_table", "add_column"
 SURPLUS_TABLE, SURPLUS_COLUMN = "surplus_table", "surplus_column"
 ADD_FK, SKIP_FK, IDENTITY_MISMATCH = "add_fk", "skip_fk", "identity_mismatch"
+#: What a relation is compared by within its program: child, field and parent without case.
+FK_KEY = ["_ct", "_cf", "_pt"]
 
 
 def name_status(left: DataFrame, right: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -187,33 +189,49 @@ class FleetDiff:
     # ---- foreign keys ----
 
     @cached_property
-    def missing_fks(self) -> DataFrame:
-        """Declared relations without a live key on the same child, field and parent."""
-        relations = complete_relations(self.declared_fks).select(
+    def _relations(self) -> DataFrame:
+        """Complete declared relations with the key they are compared by."""
+        return complete_relations(self.declared_fks).select(
             "program_id", "parent_table", "child_table", "field", "name", "cascade",
             key("child_table").alias("_ct"), key("field").alias("_cf"), key("parent_table").alias("_pt"))
+
+    @cached_property
+    def _fk_keys(self) -> DataFrame:
+        """Every relation key of a program once, however many relations spell it."""
+        return self._relations.select("program_id", *FK_KEY).distinct()
+
+    def _missing_keys(self, keys: DataFrame) -> DataFrame:
+        """(db, relation key) of the ``keys`` without a live foreign key, with the other columns of ``keys``."""
         programs = self.databases.filter(supports_foreign_keys(F.col("backend"))).select("db", "program_id")
         live = self.live_fks.select(
             "db", key("child_table").alias("_ct"), key("child_column").alias("_cf"),
             key("parent_table").alias("_pt")).distinct()
-        keys = relations.select("program_id", "_ct", "_cf", "_pt").distinct()
-        found = salted_join(live.join(programs, "db"), keys, ["program_id", "_ct", "_cf", "_pt"], "left_semi",
-                            F.col("db"))
+        found = salted_join(live.join(programs, "db"), self._fk_keys, ["program_id", *FK_KEY], "left_semi", F.col("db"))
         per_db = found.groupBy("db").agg(F.count(F.lit(1)).alias("_found"))
-        wanted = keys.groupBy("program_id").agg(F.count(F.lit(1)).alias("_wanted"))
+        wanted = self._fk_keys.groupBy("program_id").agg(F.count(F.lit(1)).alias("_wanted"))
         short = (
             salted_join(programs, wanted, ["program_id"], "inner", F.col("db")).join(per_db, "db", "left")
             .filter(F.coalesce("_found", F.lit(0)) < F.col("_wanted")).select("db", "program_id")
         )
-        expected = salted_join(short, relations, ["program_id"], "inner", F.col("db"))
-        return expected.join(found.select("db", "_ct", "_cf", "_pt"), ["db", "_ct", "_cf", "_pt"], "left_anti")
+        expected = salted_join(short, keys, ["program_id"], "inner", F.col("db"))
+        return expected.join(found.select("db", *FK_KEY).hint("merge"), ["db", *FK_KEY], "left_anti")
+
+    def _spelled(self, missing: DataFrame) -> DataFrame:
+        """All relations of missing keys. They outnumber the keys by far, so nothing is shuffled after this step."""
+        return salted_join(missing, self._relations, ["program_id", *FK_KEY], "inner", F.col("db"), FEWEST_SALTS)
+
+    @cached_property
+    def missing_fks(self) -> DataFrame:
+        """Declared relations without a live key on the same child, field and parent."""
+        return self._spelled(self._missing_keys(self._fk_keys))
 
     @cached_property
     def fks_to_apply(self) -> DataFrame:
         """Missing relations with the reason why one cannot be added after the sync, if any.
 
         Tables and columns count as present when they are live or declared, since the
-        sync creates the declared ones first.
+        sync creates the declared ones first. The names of a key settle that for all its relations, and those that the
+        program declares need no look at the databases.
         """
         tables = self._declared_tables.select("program_id", "_t").withColumn("_has", F.lit(True))
         columns = self._declared_columns.select("program_id", "_t", "_c").withColumn("_has", F.lit(True))
@@ -223,23 +241,29 @@ class FleetDiff:
         def mark(df: DataFrame, side: DataFrame, names: dict[str, str], flag: str, scope: str) -> DataFrame:
             renamed = side.select(scope, *[F.col(k).alias(v) for k, v in names.items()], F.col("_has").alias(flag))
             on = [scope, *names.values()]
-            # A name within one database has that database's relations alone, and the live catalog is the larger side:
-            # it is not repeated. A name within a program has those of all its databases.
-            return df.join(renamed, on, "left") if scope == "db" else salted_join(df, renamed, on, "left", F.concat("db", "field"))
-
-        rows = self.missing_fks
-        rows = mark(rows, tables, {"_t": "_ct"}, "_child", "program_id")
-        rows = mark(rows, tables, {"_t": "_pt"}, "_parent", "program_id")
-        rows = mark(rows, columns, {"_t": "_ct", "_c": "_cf"}, "_field", "program_id")
+            # A name within one database has that database's keys alone, and the live catalog is the larger side:
+            # it is not repeated, nor gathered anywhere. A name within a program has all the program's keys.
+            return df.join(renamed.hint("merge"), on, "left") if scope == "db" else salted_join(
+                df, renamed, on, "left", F.concat(*FK_KEY))
+
+        keys = mark(self._fk_keys, tables, {"_t": "_ct"}, "_child", "program_id")
+        keys = mark(keys, tables, {"_t": "_pt"}, "_parent", "program_id")
+        keys = mark(keys, columns, {"_t": "_ct", "_c": "_cf"}, "_field", "program_id")
+        keys = cut_lineage(keys)
+        declared = F.col("_child").isNotNull() & F.col("_parent").isNotNull() & F.col("_field").isNotNull()
+        rows = self._missing_keys(keys.filter(~declared))
         rows = mark(rows, live_tables, {"_t": "_ct"}, "_child2", "db")
         rows = mark(rows, live_tables, {"_t": "_pt"}, "_parent2", "db")
         rows = mark(rows, live_columns, {"_t": "_ct", "_c": "_cf"}, "_field2", "db")
         no_table = F.coalesce("_child", "_child2").isNull() | F.coalesce("_parent", "_parent2").isNull()
         reason = F.when(no_table, F.lit("table not found")).when(
             F.coalesce("_field", "_field2").isNull(), F.lit("column not found"))
+        names = ["db", "program_id", *FK_KEY]
+        sure = self._missing_keys(keys.filter(declared)).select(*names, F.lit(None).cast("string").alias("reason"))
+        rows = self._spelled(sure.unionByName(rows.select(*names, reason.alias("reason"))))
         return rows.select("db", "program_id", "child_table", "field", "parent_table",
                            fk_name(F.col("name"), F.col("child_table"), F.col("parent_table")).alias("fk_name"),
-                           "cascade", reason.alias("reason"))
+                           "cascade", "reason")
 
     # ---- everything ----
 
