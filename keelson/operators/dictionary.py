@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.names import is_blank, is_empty, key, strip
 from keelson.operators.filters import visible
-from keelson.operators.scale import first_per_key, number_rows, salted_join
+from keelson.operators.scale import first_per_key, heavy_join, number_rows
 
 
 def lookup(df: DataFrame, dictionary: DataFrame, text: str, lang: str, fallback: Column | None = None,
@@ -24,7 +24,8 @@ def lookup(df: DataFrame, dictionary: DataFrame, text: str, lang: str, fallback:
     entries = first_per_key(entries, [lang, "_k"], ["entry_id"]).select(lang, "_k", "_t")
     keyed = df.withColumn("_k", F.lower(strip(F.col(text))))
     spread = F.xxhash64(*[F.col(c) for c in df.columns])
-    joined = salted_join(keyed, entries, [lang, "_k"], "left", spread)
+    # Entries hold whole texts: only those of heavy keys are repeated, and they are never gathered on the driver.
+    joined = heavy_join(keyed, entries.hint("merge"), [lang, "_k"], "left", spread)
     missing = F.when(~is_empty(fallback), fallback).otherwise(F.col(text))
     value = F.when(is_blank(F.col(text)), fallback).otherwise(F.coalesce(F.col("_t"), missing))
     return joined.withColumn(name, value).select(*df.columns, name)
