@@ -7,7 +7,7 @@ import pytest
 from workloads import registry
 
 #: Queries whose plans hold no side that grows with the catalog in a broadcast.
-QUERIES = ["declared_schema", "tsv_orphans", "column_guard", "catalog_columns", "catalog_types", "fleet_missing_fks", "fleet_summary", "fk_applicability", "fleet_diff_all", "apply_order"]
+QUERIES = ["declared_schema", "tsv_orphans", "column_guard", "catalog_columns", "catalog_types", "fleet_missing_fks", "fleet_summary", "fk_applicability", "fleet_diff_all", "apply_order", "fleet_summary_with_drops"]
 
 
 @pytest.fixture(scope="module")
